@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
     """Slices of batches with about CHUNK_CHARS bytes of text (one row at least), and their texts (null: empty)."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False) if batch.num_rows else []
+        sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False) if batch.num_rows else []
         start, total = 0, 0
         for i, n in enumerate(sizes):
             if total and total + n > CHUNK_CHARS:
