@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimspark.llm import bpe, mixing, secrets_crf, urlfilter
+from palimspark.llm import bpe, mixing, pii, secrets_crf, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_read(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_read(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """Where the public tokenizer's file is on this cluster."""
     import public_tokenizers
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_filter": op7_url_filter,
     "op8_secrets": op8_secrets,
     "op9_bpe": op9_bpe,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
