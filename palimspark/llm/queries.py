@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimspark.llm import bpe, minhash, mixing, pii, quality, secrets_crf, toxicity, urlfilter
+from palimspark.llm import ann, bpe, impact_index, minhash, mixing, pii, quality, secrets_crf, toxicity, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_read(spark, sf_dir, "embeddings"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_index.top_k(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(_read(spark, sf_dir, "pages"))
 
@@ -56,10 +64,12 @@ def tokenizer_path() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest": op1_nearest,
     "op2_minhash": op2_minhash,
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_mix_sources": op5_mix_sources,
+    "op6_top_k": op6_top_k,
     "op7_url_filter": op7_url_filter,
     "op8_secrets": op8_secrets,
     "op9_bpe": op9_bpe,
@@ -95,6 +105,16 @@ FROM (
   FROM placed JOIN (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 2.0::DOUBLE) ELSE 0.0::DOUBLE END AS e FROM shares) s
     ON placed.source IS NOT DISTINCT FROM s.source
 ) p
+""",
+    "op6_top_k": r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10
 """,
     "op7_url_filter": r"""
 WITH rules(action, rhost, rpath) AS (
