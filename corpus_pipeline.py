@@ -1,7 +1,89 @@
-"""Placeholder of the corpus pipeline."""
-STAGES = []
+"""A training corpus from documents: clean, deduplicate, redact, mix, tokenise.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of docs, and returns a
+DataFrame; all but the last return the columns that docs has. Between stages,
+run() writes Parquet into the shared folder and reads it again. Null, empty and
+repeated rows are treated as the operators' docstrings say.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimspark.llm import bpe, minhash, mixing, secrets_crf, toxicity
+from palimspark.llm.common import cut
+from palimspark.llm.queries import tokenizer_path
+
+
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go. The scorer learns from labels of rows that aren't held out."""
+    scorer = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.keep_clean(docs, scorer)
+
+
+def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, the document with the least id stays; of rows with the same id in a group, one.
+
+    Rows without an id stay.
+    """
+    verdicts = minhash.near_duplicates(docs)
+    gone = verdicts.where("not kept").select("doc_id").distinct()
+    return once(docs.join(gone, "doc_id", "left_anti").select(docs.columns))
+
+
+def once(docs: DataFrame) -> DataFrame:
+    """One row of each id: the least by text, then by the other columns. Rows without an id stay.
+
+    Only ids that repeat are shuffled with their texts.
+    """
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = cut(again, "repeated")
+    if again.isEmpty():
+        return docs
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("r"))
+    least = least.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in docs.columns])
+    return docs.join(again, "doc_id", "left_anti").select(docs.columns).union(least)
+
+
+def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret's place in the text says [SECRET]; n_chars is that of the new text."""
+    out = secrets_crf.redact(docs)
+    if "n_chars" not in docs.columns:
+        return out
+    kind = docs.schema["n_chars"].dataType
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars"))).select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    columns = docs.columns
+    taken = mixing.mix(docs, carry=tuple(c for c in columns if c not in ("doc_id", "source")))
+    return taken.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, digests of ids and decoded text, ids."""
+    return bpe.encode(docs, tokenizer_path()).drop("decoded")
+
+
+STAGES = [
+    ("toxicity", toxic_out),
+    ("near_dedup", near_duplicates_out),
+    ("secrets", secrets_out),
+    ("mixing", mixed),
+    ("bpe", encoded),
+]
+
+#: Scorers and a random field aren't SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = cut(docs, name)
+    return docs
