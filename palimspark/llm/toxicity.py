@@ -158,8 +158,7 @@ class Restorer(dict):
         if _AMBIGUOUS.search(core):
             return self.channel.restore(core)
         if _AMBIGUOUS.search(token):  # signs at the edge may be letters
-            inner = self.channel.restore(token)
-            return inner.strip(EDGE)
+            return self.channel.restore(token.rstrip("!?.,;:…")).strip(EDGE)
         return core
 
     def __missing__(self, token: str) -> int:
