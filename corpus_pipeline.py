@@ -58,9 +58,9 @@ def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    columns = docs.columns
-    taken = mixing.mix(docs, carry=tuple(c for c in columns if c not in ("doc_id", "source")))
-    return taken.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(columns)
+    whole = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row"))
+    taken = mixing.mix(whole, carry=("row",)).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
