@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from palimspark.llm.common import MEMO_ENTRIES, pieces
+from palimspark.llm.common import MEMO_ENTRIES, memos, pieces, small_batches
 
 END = "\x00"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -115,6 +115,7 @@ class Encoder:
         self.machine = machine
         self._safe: dict[tuple[int, int], bool] = {}
         self.memo = _Memo(self._word)
+        memos.extend([self.memo, self.memo.tokens, self._safe])
 
     def compatible(self, left: int, right: int, limit: float = float("inf")) -> bool:
         """Whether no merge across the boundary of left and right comes before limit or before their own merges."""
@@ -223,6 +224,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
     from pyspark.sql import functions as F
 
+    small_batches(docs.sparkSession)
     x = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     extra = ", ids array<int>, decoded string" if with_ids else ""
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -18,7 +20,11 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 #: Characters of text that a worker turns into Python objects at a time.
 CHUNK_CHARS = 1 << 20
 #: Upper bound of entries in a worker's memo tables; a full table is emptied, results don't change.
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 150_000
+#: Rows of an Arrow batch; whole texts are long, and a batch is in memory on both sides.
+BATCH_ROWS = 1_000
+#: Memo tables of this process, emptied when a task ends.
+memos: list[dict] = []
 
 _own_dirs: list[str] = []
 
@@ -36,9 +42,29 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dirs[0]}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows of Arrow batches in this session, if they are more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def tidy() -> None:
+    """Gives a worker's memory back between tasks: workers live on, and a stage without Python may need it."""
+    for m in memos:
+        m.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: a short lineage that outlives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -57,6 +83,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
             total += n
         if start < batch.num_rows:
             yield batch.slice(start), [t or "" for t in column.slice(start).to_pylist()]
+    tidy()
 
 
 def held_out(column: str, modulus: int, remainder: int):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimspark.llm.common import MEMO_ENTRIES, held_out, pieces
+from palimspark.llm.common import MEMO_ENTRIES, held_out, memos, pieces, small_batches
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 DIM = 1 << 18
@@ -47,6 +47,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+memos.append(_hashes)
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +111,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remai
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, remainder: int = 1, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """Learns from labels of rows that aren't held out. Without labels every score is 0.5."""
+    small_batches(docs.sparkSession)
     some = labelled(docs, labels, label, modulus, remainder, max_rows, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,6 +138,7 @@ def score(docs: DataFrame, scorer: Scorer, modulus: int = 3, remainder: int = 1,
     Null and empty texts get the score of the bias alone. A null id isn't held
     out. Repeated rows give repeated rows, an empty table an empty one; other columns aren't looked at.
     """
+    small_batches(docs.sparkSession)
     x = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col, modulus, remainder).alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimspark.llm.common import MEMO_ENTRIES, pieces
+from palimspark.llm.common import MEMO_ENTRIES, memos, pieces, small_batches
 
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -104,6 +104,7 @@ class _Features(dict):
 
 
 _features = _Features()
+memos.append(_features)
 
 
 def _windows(text: str, seed: int) -> list[tuple[list[int], list[int], int]]:
@@ -332,6 +333,7 @@ def find(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
     Null texts are empty and hold nothing. Repeated rows give repeated rows, an empty table an empty
     one; other columns aren't looked at. A model is fitted where none is given.
     """
+    small_batches(docs.sparkSession)
     model = model or fit(docs, text_col)
     x = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -354,6 +356,7 @@ def find(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
 
 def redact(docs: DataFrame, model: Model | None = None, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every found secret replaced by mark; all columns and rows stay, null texts too."""
+    small_batches(docs.sparkSession)
     model = model or fit(docs, text_col)
     place = docs.columns.index(text_col)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimspark.llm.common import MEMO_ENTRIES, held_out, pieces
+from palimspark.llm.common import MEMO_ENTRIES, held_out, pieces, small_batches
 from palimspark.llm.quality import ftrl, labelled
 
 BITS = 17
@@ -209,6 +209,7 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, remainder: int = 0, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """Learns from labels of rows that aren't held out. Without labels every score is 0.5."""
+    small_batches(docs.sparkSession)
     counts = char_counts(docs, text_col)
     some = labelled(docs, labels, label, modulus, remainder, max_rows, id_col, text_col)
 
@@ -259,6 +260,7 @@ def score(docs: DataFrame, scorer: Scorer, modulus: int = 5, remainder: int = 0,
     Null and empty texts get the score of the bias alone. A null id isn't held
     out. Repeated rows give repeated rows, an empty table an empty one; other columns aren't looked at.
     """
+    small_batches(docs.sparkSession)
     x = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col, modulus, remainder).alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,6 +273,7 @@ def score(docs: DataFrame, scorer: Scorer, modulus: int = 5, remainder: int = 0,
 
 def keep_clean(docs: DataFrame, scorer: Scorer, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs, with all columns, whose score is below threshold. Null texts stay if the empty text does."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, text_col):
