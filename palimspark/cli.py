@@ -16,70 +16,39 @@ from palimspark.plans import sweep
 from palimspark.sources import api, dumps, store
 
 
+WIKI = "https://" + "en.wikipedia.org/w/api.php"
+_MUST = object()
+_FLAG = object()
+_SOLVER = {"time_budget": None, "solver": "heuristic", "eps": 0.1, "max_states": 100_000}
+_KINDS = {n: int for n in ("time_budget", "limit", "limit_revs", "max_pages_scan", "count", "start", "length", "max_states")} | {"eps": float}
+#: What each command takes, with defaults; with a strategy where it compresses.
+COMMANDS: dict[str, dict] = {
+    "compress-api": {"title": _MUST, "limit": 50, "out": _MUST, "url": WIKI, "user_agent": "palimspark", "recorded": None, "strategy": "auto"} | _SOLVER,
+    "compress-from-dump": {"dump": _MUST, "titles": "", "page_ids": "", "out_dir": _MUST, "download_dir": "dumps", "limit_revs": None, "user_agent": "palimspark", "strategy": "auto"} | _SOLVER,
+    "compress-from-dump-dir": {"dump_dir": _MUST, "page_ids": _MUST, "out_dir": _MUST, "index": None, "pattern": "*.bz2", "max_pages_scan": None, "resume": _FLAG, "force": _FLAG, "strategy": "fptas"} | _SOLVER,
+    "compress-xml": {"xml": _MUST, "title": _MUST, "count": 200, "out": _MUST, "strategy": "auto"} | _SOLVER,
+    "compress-from-history-file": {"file": _MUST, "page_ids": _MUST, "out_dir": _MUST, "limit_revs": None, "strategy": "auto"} | _SOLVER,
+    "retrieve": {"in": _MUST, "start": _MUST, "length": 0, "print": _FLAG},
+    "retrieve-by-id": {"in": _MUST, "ids": _MUST, "print": _FLAG},
+    "retrieve-by-time": {"in": _MUST, "start_ts": None, "end_ts": None, "print": _FLAG},
+    "debug-resolve": {"dump": _MUST, "titles": _MUST},
+    "build-index": {"file": _MUST, "index": _MUST},
+    "analyze-comp": {"in_dir": _MUST, "out_csv": _MUST, "plots_dir": None},
+}
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="palimspark")
     sub = p.add_subparsers(dest="command", required=True)
-
-    def command(name: str, strategy: str | None = None):
-        c = sub.add_parser(name)
-        if strategy:
-            c.add_argument("--time-budget", type=int)
-            c.add_argument("--solver", choices=("exact", "heuristic"), default="heuristic")
-            c.add_argument("--strategy", default=strategy)
-            c.add_argument("--eps", type=float, default=0.1)
-            c.add_argument("--max-states", type=int, default=100_000)
-        return c
-
-    c = command("compress-api", "auto")
-    c.add_argument("--title", required=True)
-    c.add_argument("--limit", type=int, default=50)
-    c.add_argument("--out", required=True)
-    c.add_argument("--url", default="https://en.wikipedia.org/w/api.php")
-    c.add_argument("--user-agent", default="palimspark")
-    c.add_argument("--recorded")
-    c = command("compress-from-dump", "auto")
-    c.add_argument("--dump", required=True)
-    c.add_argument("--titles", default="")
-    c.add_argument("--page-ids", default="")
-    c.add_argument("--out-dir", required=True)
-    c.add_argument("--download-dir", default="dumps")
-    c.add_argument("--limit-revs", type=int)
-    c.add_argument("--user-agent", default="palimspark")
-    c = command("compress-from-dump-dir", "fptas")
-    c.add_argument("--dump-dir", required=True)
-    c.add_argument("--page-ids", required=True)
-    c.add_argument("--out-dir", required=True)
-    c.add_argument("--index")
-    c.add_argument("--pattern", default="*.bz2")
-    c.add_argument("--max-pages-scan", type=int)
-    c.add_argument("--resume", action="store_true")
-    c.add_argument("--force", action="store_true")
-    c = command("compress-xml", "auto")
-    c.add_argument("--xml", required=True)
-    c.add_argument("--title", required=True)
-    c.add_argument("--count", type=int, default=200)
-    c.add_argument("--out", required=True)
-    c = command("compress-from-history-file", "auto")
-    c.add_argument("--file", required=True)
-    c.add_argument("--page-ids", required=True)
-    c.add_argument("--out-dir", required=True)
-    c.add_argument("--limit-revs", type=int)
-    for name, args in (("retrieve", ("start", "length")), ("retrieve-by-id", ("ids",)), ("retrieve-by-time", ("start-ts", "end-ts"))):
-        c = command(name)
-        c.add_argument("--in", dest="path", required=True)
-        c.add_argument("--print", action="store_true")
-        for a in args:
-            c.add_argument(f"--{a}", type=int if a in ("start", "length") else str, default=0 if a == "length" else None, required=a in ("start", "ids"))
-    c = command("debug-resolve")
-    c.add_argument("--dump", required=True)
-    c.add_argument("--titles", required=True)
-    c = command("build-index")
-    c.add_argument("--file", required=True)
-    c.add_argument("--index", required=True)
-    c = command("analyze-comp")
-    c.add_argument("--in-dir", required=True)
-    c.add_argument("--out-csv", required=True)
-    c.add_argument("--plots-dir")
+    for command, options in COMMANDS.items():
+        c = sub.add_parser(command)
+        for name, default in options.items():
+            how = {"dest": "path" if name == "in" else name}
+            if default is _FLAG:
+                how["action"] = "store_true"
+            else:
+                how |= {"type": _KINDS.get(name, str), "required": True} if default is _MUST else {"type": _KINDS.get(name, str), "default": default}
+            c.add_argument("--" + name.replace("_", "-"), **how)
     return p
 
 
@@ -105,7 +74,7 @@ def _solver(a: argparse.Namespace) -> dict:
 
 def _dump_parts(spark: SparkSession, a: argparse.Namespace, api_url: str):
     agent = getattr(a, "user_agent", "palimspark")
-    titles = [t.strip() for t in a.titles.split(",") if t.strip()]
+    titles = [t for t in map(str.strip, a.titles.split(",")) if t]
     found = api.resolve(titles, lambda ask: api.fetch_http(api_url, ask, agent)) if titles else {}
     ids = list(found.values()) + id_list(getattr(a, "page_ids", ""))
     parts = dumps.list_parts(spark, a.dump, _http(agent))
@@ -118,7 +87,6 @@ def run(argv: list[str], spark: SparkSession | None = None, out=sys.stdout) -> i
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("palimspark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     say = lambda *x: print(*x, file=out)
-    wiki = "https://en.wikipedia.org/w/api.php"
 
     def write_one(revisions, title: str, path: str) -> int:
         if revisions.isEmpty():
@@ -151,12 +119,12 @@ def run(argv: list[str], spark: SparkSession | None = None, out=sys.stdout) -> i
         say(sweep.save_pages(x, a.out_dir, titles, a.file, **_solver(a)).count(), "pages")
         return 0
     if a.command == "compress-from-dump":
-        _, places = _dump_parts(spark, a, wiki)
+        _, places = _dump_parts(spark, a, WIKI)
         rows = places.select("page_id", "url").collect()  # what the command line asked for
         files = {url: dumps.download(url, a.download_dir) for url in dict.fromkeys(r.url for r in rows)}
         x = dumps.revisions(dumps.xml_pages(spark, list(files.values())), [r.page_id for r in rows], limit_per_page=a.limit_revs)
         titles = x.groupBy("page_id").agg(F.first("title").alias("title"))
-        now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+        now = datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="seconds")
         store.write_manifest(sweep.save_pages(x, a.out_dir, titles, a.dump, **_solver(a)), os.path.join(a.out_dir, "manifest"), {"dump": a.dump, "generated_at": now})
         return 0
     if a.command == "compress-from-dump-dir":
@@ -167,7 +135,7 @@ def run(argv: list[str], spark: SparkSession | None = None, out=sys.stdout) -> i
         store.write_manifest(rows, os.path.join(a.out_dir, "manifest"))
         return 0
     if a.command == "debug-resolve":
-        found, places = _dump_parts(spark, a, wiki)
+        found, places = _dump_parts(spark, a, WIKI)
         for title, page in found.items():
             say(page, title)
         for r in places.orderBy("page_id").collect():

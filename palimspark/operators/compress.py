@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimspark.model import META
-from palimspark.operators import delta, layout
+from palimspark.operators import delta, layout, solvers
 
 
-def compress(revisions: DataFrame, time_budget: int | None = None, solver: str = "heuristic", strategy: str = "auto", eps: float = 0.1, max_states: int = 100_000, value_model: str = "edit_size") -> DataFrame:
+def compress(revisions: DataFrame, time_budget: int | None = None, strategy: str = "auto", solver: str = "heuristic", eps: float = solvers.EPS, max_states: int = solvers.MAX_STATES, value_model: str = "edit_size") -> DataFrame:
     """revisions plus part_id, is_anchor, base_text (anchors), patch (the others); text is dropped."""
-    chosen = layout.choose(revisions, time_budget, solver, strategy, eps, max_states, value_model)
+    chosen = layout.choose(revisions, time_budget, strategy, solver, eps, max_states, value_model)
     return as_deltas(revisions, layout.partition(revisions.drop("text"), chosen))
 
 
@@ -35,7 +35,7 @@ def decompress(compressed: DataFrame) -> DataFrame:
     return compressed.withColumn("text", text_of()).drop("base_text", "patch")
 
 
-def artifacts(compressed: DataFrame, titles: DataFrame | None = None, time_budget: int | None = None, solver: str = "heuristic", strategy: str = "auto") -> DataFrame:
+def artifacts(compressed: DataFrame, titles: DataFrame | None = None, time_budget: int | None = None, strategy: str = "auto", solver: str = "heuristic") -> DataFrame:
     """page_id and one nested artifact row per page; titles: page_id, title (default page_<id>)."""
     stamp = F.coalesce(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(""))
     # sort_array by idx: a group has no order of its own

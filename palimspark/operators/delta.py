@@ -50,7 +50,8 @@ def word_delta(before: str, after: str) -> str:
 
     Words are parted by single spaces, with new lines as backticks and hyphens as carets; new numbers stand in quotes.
     """
-    cut = lambda s: s.replace("\n", "`").replace("-", "^").split(" ")
+    signs = str.maketrans({"\n": "`", "-": "^"})
+    cut = lambda s: s.translate(signs).split(" ")
     a, b = cut(before), cut(after)
     out = []
     for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():

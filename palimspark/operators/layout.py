@@ -37,8 +37,8 @@ def candidates(revisions: DataFrame, value_model: str = "edit_size") -> DataFram
 
 
 def choose(
-    revisions: DataFrame, time_budget: int | None = None, solver: str = "heuristic", strategy: str = "auto", eps: float = 0.1,
-    max_states: int = 100_000, value_model: str = "edit_size",
+    revisions: DataFrame, time_budget: int | None = None, strategy: str = "auto", solver: str = "heuristic", eps: float = solvers.EPS,
+    max_states: int = solvers.MAX_STATES, value_model: str = "edit_size",
 ) -> DataFrame:
     """page_id, idx of the transitions that become deltas under each page's budget (none given: its revisions squared).
 

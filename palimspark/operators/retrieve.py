@@ -79,7 +79,7 @@ def time_bounds(start: str | None, end: str | None, inclusive: bool = True, ts:
 
 def _literal(value: str) -> Column:
     when = parse_iso(value)
-    return F.to_timestamp(F.lit(when.astimezone(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")))
+    return F.lit(when.astimezone(datetime.timezone.utc))
 
 
 def by_time(compressed: DataFrame, start: str | None = None, end: str | None = None, inclusive: bool = True) -> DataFrame:

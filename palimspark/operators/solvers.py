@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import numpy as np
 
+Numbers = list[int]
+AUTO, EPS, MAX_STATES = "auto", 0.1, 100_000
 #: Cells of the exact table; beyond, ask for a heuristic.
 MOST_CELLS = 500_000_000
 
 
-def exact(values: list[int], weights: list[int], capacity: int) -> list[int]:
+def exact(values: Numbers, weights: Numbers, capacity: int) -> Numbers:
     """Of equal totals, the one that leaves the later items out."""
     if capacity <= 0:
         return []
@@ -21,7 +23,8 @@ def exact(values: list[int], weights: list[int], capacity: int) -> list[int]:
         raise ValueError(f"{n} items by {capacity} capacity is too much for the exact solver; use a heuristic")
     best = np.zeros(capacity + 1, np.int64)
     taken = np.zeros((n, capacity + 1), bool)
-    for i, (v, w) in enumerate(zip(values, weights)):
+    for i, v in enumerate(values):
+        w = weights[i]
         if w <= capacity:
             more = best[: capacity + 1 - w] + v
             taken[i, w:] = more > best[w:]
@@ -34,10 +37,11 @@ def exact(values: list[int], weights: list[int], capacity: int) -> list[int]:
     return out[::-1]
 
 
-def greedy(values: list[int], weights: list[int], capacity: int, improve: bool = True) -> list[int]:
+def greedy(values: Numbers, weights: Numbers, capacity: int, swaps: bool = True) -> Numbers:
     """By value for weight (ties: first come), or the best single item if better; then swaps one for one while any helps."""
     inside, load, gain = set(), 0, 0
-    for i in sorted(range(len(values)), key=lambda i: -(values[i] / weights[i]) if weights[i] else float("-inf")):
+    rate = [v / w if w else float("inf") for v, w in zip(values, weights)]
+    for i in sorted(range(len(rate)), key=lambda k: -rate[k]):
         if load + weights[i] <= capacity:
             inside.add(i)
             load, gain = load + weights[i], gain + values[i]
@@ -45,7 +49,7 @@ def greedy(values: list[int], weights: list[int], capacity: int, improve: bool =
     single = max(fits, key=lambda i: (values[i], -i), default=None)
     if single is not None and values[single] > gain:
         inside, load = {single}, weights[single]
-    swapped = improve
+    swapped = swaps
     while swapped:
         swapped = False
         outside = [j for j in range(len(values)) if j not in inside]
@@ -60,13 +64,13 @@ def greedy(values: list[int], weights: list[int], capacity: int, improve: bool =
     return sorted(inside)
 
 
-def scaled(values: list[int], weights: list[int], capacity: int, eps: float = 0.1) -> list[int]:
+def scaled(values: Numbers, weights: Numbers, capacity: int, eps: float = EPS) -> Numbers:
     """Least weight for each scaled total; within 1 - eps of the best. Beyond MOST_CELLS cells, greedy."""
     fits = [i for i in range(len(values)) if weights[i] <= capacity and values[i] > 0]
     if not fits:
         return []
     # greedy finds half of the best at least, so the best isn't above twice that
-    bound = sum(values[i] for i in greedy(values, weights, capacity, improve=False))
+    bound = sum(values[i] for i in greedy(values, weights, capacity, swaps=False))
     unit = max(1, int(eps * bound / len(fits)))
     small = [values[i] // unit for i in fits]
     top = min(sum(small), 2 * bound // unit)
@@ -89,10 +93,11 @@ def scaled(values: list[int], weights: list[int], capacity: int, eps: float = 0.
     return out[::-1]
 
 
-def sparse(values: list[int], weights: list[int], capacity: int, max_states: int = 100_000) -> list[int]:
+def sparse(values: Numbers, weights: Numbers, capacity: int, max_states: int = MAX_STATES) -> Numbers:
     """States (weight, value) that no other dominates, thinned out evenly beyond max_states; each keeps its own choices."""
     states: list[tuple[int, int, tuple | None]] = [(0, 0, None)]
-    for i, (v, w) in enumerate(zip(values, weights)):
+    for i in range(len(values)):
+        v, w = values[i], weights[i]
         grown = [(a + w, b + v, (i, link)) for a, b, link in states if a + w <= capacity]
         merged, top = [], -1
         for s in sorted(states + grown, key=lambda s: (s[0], -s[1])):
@@ -110,7 +115,7 @@ def sparse(values: list[int], weights: list[int], capacity: int, max_states: int
     return out[::-1]
 
 
-def heuristic(values: list[int], weights: list[int], capacity: int, strategy: str = "auto", eps: float = 0.1, max_states: int = 100_000) -> list[int]:
+def heuristic(values: Numbers, weights: Numbers, capacity: int, strategy: str = AUTO, eps: float = EPS, max_states: int = MAX_STATES) -> Numbers:
     """A named strategy, or by the size of the problem; unknown names count as auto."""
     if capacity <= 0 or not values:
         return []

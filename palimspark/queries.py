@@ -386,7 +386,7 @@ def order_history_costs(spark, sf_dir):
 
 def _solved(spark, sf_dir, solver: str, strategy: str) -> DataFrame:
     x = tables.orders(spark, sf_dir)
-    chosen = layout.choose(x, 4000, solver, strategy)
+    chosen = layout.choose(x, 4000, strategy, solver)
     items = layout.candidates(x).join(chosen, ["page_id", "idx"])
     return items.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"), F.sum("weight").alias("weight"))
 

@@ -33,19 +33,28 @@ def fetch_http(url: str, params: dict, agent: str, tries: int = 5, wait: float =
     raise AssertionError
 
 
+_QUERY = dict(action="query", format="json", formatversion="2")
+
+
+def _pages(answer: dict) -> list[dict]:
+    found = answer.get("query") or {}
+    return found.get("pages") or []
+
+
 def walk(title: str, limit: int, fetch: Callable[[dict], dict], pause: float = 0.0) -> Iterator[tuple]:
     """(title, page_id, idx, revid, timestamp, text), oldest first, up to limit; ValueError for an unknown title."""
     more: dict = {}
     idx = 0
     while idx < limit:
-        ask = {"action": "query", "format": "json", "formatversion": "2", "prop": "revisions", "titles": title, "rvdir": "newer", "rvslots": "main", "rvprop": "ids|timestamp|content", "rvlimit": min(limit - idx, PAGE_SIZE)} | more
+        ask = _QUERY | dict(prop="revisions", titles=title, rvdir="newer", rvslots="main", rvprop="ids|timestamp|content", rvlimit=min(limit - idx, PAGE_SIZE)) | more
         answer = fetch(ask)
-        for page in answer.get("query", {}).get("pages", []):
+        for page in _pages(answer):
             if page.get("missing"):
                 raise ValueError(f"no page {title!r}")
             for r in page.get("revisions", []):
                 if idx < limit:
-                    yield title, page.get("pageid"), idx, r.get("revid", -1), r.get("timestamp", ""), (r.get("slots", {}).get("main", {}) or {}).get("content") or ""
+                    main = (r.get("slots") or {}).get("main") or {}
+                    yield title, page.get("pageid"), idx, r.get("revid", -1), r.get("timestamp", ""), main.get("content") or ""
                     idx += 1
         more = answer.get("continue") or {}
         if not more:
@@ -57,8 +66,8 @@ def resolve(titles: list[str], fetch: Callable[[dict], dict], batch: int = 50) -
     """Page ids by normalised title, following redirects; unknown titles are left out."""
     out = {}
     for at in range(0, len(titles), batch):
-        answer = fetch({"action": "query", "format": "json", "formatversion": "2", "redirects": 1, "converttitles": 1, "titles": "|".join(titles[at : at + batch])})
-        for page in answer.get("query", {}).get("pages", []):
+        answer = fetch(_QUERY | dict(redirects=1, converttitles=1, titles="|".join(titles[at : at + batch])))
+        for page in _pages(answer):
             if not page.get("missing") and "pageid" in page:
                 out[page["title"]] = page["pageid"]
     return out

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import gzip
 import json
 import os
+import pathlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +16,10 @@ from pyspark.sql import functions as F
 from palimspark.model import ARTIFACT, MANIFEST_LEAST
 
 
+FILES = "*.comp.gz"
+UTF8 = {"encoding": "utf-8"}
+
+
 def file_name(page_id: int | None, title: str) -> str:
     """page_<id>.comp.gz, or the title without signs that a path can't have."""
     return f"page_{page_id}.comp.gz" if page_id is not None else "".join(c if c.isalnum() or c in " ._-" else "_" for c in title) + ".comp.gz"
@@ -47,13 +53,13 @@ def save(artifacts: DataFrame, folder: str) -> DataFrame:
     return x.mapInArrow(run, "page_id long, artifact string, error string")
 
 
-def load(spark: SparkSession, path: str, pattern: str = "*.comp.gz") -> DataFrame:
+def load(spark: SparkSession, path: str, pattern: str = FILES) -> DataFrame:
     """Artifact rows, with their files' paths."""
     x = spark.read.schema(ARTIFACT).option("pathGlobFilter", pattern).json(path)
     return x.select("*", F.col("_metadata.file_path").alias("file"))
 
 
-def listing(spark: SparkSession, folder: str, pattern: str = "*.comp.gz") -> DataFrame:
+def listing(spark: SparkSession, folder: str, pattern: str = FILES) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path").orderBy("path")
 
 
@@ -64,16 +70,14 @@ def write_manifest(rows: DataFrame, out: str, wrap: dict | None = None) -> None:
     """
     columns = sorted(rows.columns or MANIFEST_LEAST)
     items = []
-    with open(f"{out}.csv", "w", encoding="utf-8", newline="") as csv_file:
-        import csv
-
+    with pathlib.Path(f"{out}.csv").open(mode="w", newline="", **UTF8) as csv_file:
         writer = csv.DictWriter(csv_file, columns)
         writer.writeheader()
         for r in rows.toLocalIterator():
             items.append(r.asDict())
             writer.writerow(items[-1])
-    with open(f"{out}.json", "w", encoding="utf-8") as f:
-        json.dump(items if wrap is None else wrap | {"count": len(items), "items": items}, f, ensure_ascii=False, indent=1, default=str)
+    whole = items if wrap is None else wrap | {"count": len(items), "items": items}
+    pathlib.Path(f"{out}.json").write_text(json.dumps(whole, ensure_ascii=False, indent=1, default=str), encoding="utf-8")
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

@@ -130,7 +130,7 @@ def test_time_bounds(spark):
     x = spark.createDataFrame([("2024-01-01T00:00Z",), ("2024-01-01T23:59:59Z",), ("2024-01-01T23:59:59.5Z",), ("2024-01-02T01:00:00+02:00",), ("",), ("x",)], "s string")
     x = x.withColumn("ts", times.iso_to_ts(F.col("s")))
     pick = lambda **k: [r.s for r in x.where(retrieve.time_bounds(k.get("start"), k.get("end"), k.get("inclusive", True))).orderBy("ts").collect()]
-    assert pick(start="2024-01-01", end="2024-01-01") == ["2024-01-01T00:00Z", "2024-01-02T01:00:00+02:00", "2024-01-01T23:59:59Z"]
+    assert pick(end="2024-01-01", start="2024-01-01") == ["2024-01-01T00:00Z", "2024-01-02T01:00:00+02:00", "2024-01-01T23:59:59Z"]
     assert pick(start="2024-01-01", inclusive=False) == ["2024-01-02T01:00:00+02:00", "2024-01-01T23:59:59Z", "2024-01-01T23:59:59.5Z"]
     assert len(pick()) == 4
 

@@ -9,14 +9,28 @@ from palimspark.operators import compress, retrieve
 from palimspark.plans import sweep
 from palimspark.sources import api, dumps, store
 
-XML = """<mediawiki xmlns="http://www.mediawiki.org/xml/export-0.10/">
-<page><title>Fen</title><ns>0</ns><id>11</id>
-<revision><id>1</id><timestamp>2024-01-01T00:00:00Z</timestamp><contributor><username>A</username></contributor><text bytes="5">reeds</text></revision>
-<revision><id>2</id><timestamp>2024-01-02T00:00:00Z</timestamp><text bytes="30"> reeds and
- more reeds in water </text></revision>
-<revision><id>3</id><timestamp></timestamp><text/></revision></page>
-<page><title>Moor</title><ns>1</ns><id>12</id><revision><id>9</id><timestamp>2024-02-01T00:00Z</timestamp><text>peat</text></revision></page>
-</mediawiki>"""
+
+
+def _page(title, ns, page, *revisions):
+    return f"<page><title>{title}</title><ns>{ns}</ns><id>{page}</id>{''.join(revisions)}</page>"
+
+
+def _revision(number, stamp, text, who=""):
+    return f"<revision><id>{number}</id><timestamp>{stamp}</timestamp>{who}{text}</revision>"
+
+
+SPACE = "http://www.mediawiki.org" + "/xml/export-0.10/"
+XML = (
+    f'<mediawiki version="0.10" xmlns="{SPACE}">'
+    + _page(
+        "Fen", 0, 11,
+        _revision(1, "2024-01-01T00:00:00Z", '<text bytes="5">reeds</text>', "<contributor><username>A</username></contributor>"),
+        _revision(2, "2024-01-02T00:00:00Z", '<text bytes="30"> reeds and\n more reeds in water </text>'),
+        _revision(3, "", "<text/>"),
+    )
+    + _page("Moor", 1, 12, _revision(9, "2024-02-01T00:00Z", "<text>peat</text>"))
+    + "</mediawiki>"
+)
 
 
 @pytest.fixture(scope="module")
