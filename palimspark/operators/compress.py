@@ -11,12 +11,18 @@ from pyspark.sql import functions as F
 
 from palimspark.model import META
 from palimspark.operators import delta, layout, solvers
+from palimspark.plans.stage import staged
 
 
 def compress(revisions: DataFrame, time_budget: int | None = None, strategy: str = "auto", solver: str = "heuristic", eps: float = solvers.EPS, max_states: int = solvers.MAX_STATES, value_model: str = "edit_size") -> DataFrame:
-    """revisions plus part_id, is_anchor, base_text (anchors), patch (the others); text is dropped."""
-    chosen = layout.choose(revisions, time_budget, strategy, solver, eps, max_states, value_model)
-    return as_deltas(revisions, layout.partition(revisions.drop("text"), chosen))
+    """Runs the layout at once; what comes back is lazy.
+
+    revisions plus part_id, is_anchor, base_text (anchors), patch (the others); text is dropped.
+    revisions are read three times: give a stored or staged table.
+    """
+    sizes = staged(revisions.select("page_id", "idx", "size"), "sizes")
+    chosen = staged(layout.choose(sizes, time_budget, strategy, solver, eps, max_states, value_model), "chosen")
+    return as_deltas(revisions, staged(layout.partition(sizes, chosen), "parts"))
 
 
 def as_deltas(revisions: DataFrame, parts: DataFrame) -> DataFrame:

@@ -25,16 +25,21 @@ def number(df: DataFrame, page: str, key: str, width: int = 1_000_000, name: str
 
 def previous(df: DataFrame, column: str, name: str, block: int = BLOCK) -> DataFrame:
     """Adds column of the row at idx - 1 of the same page (null for the first)."""
-    x = df.withColumn("_b", F.floor(F.col("idx") / block)).withColumn("_edge", F.lit(False))
-    edge = x.where((F.col("idx") + 1) % block == 0).withColumn("_b", F.col("_b") + 1).withColumn("_edge", F.lit(True))
+    own = F.expr(f"idx div {block}")
+    # a block's last row also goes, marked, to the next block: one scan and one shuffle
+    last = (F.col("idx") + 1) % block == 0
+    to = F.when(last, F.array(F.struct(own.alias("b"), F.lit(False).alias("edge")), F.struct((own + 1).alias("b"), F.lit(True).alias("edge")))).otherwise(
+        F.array(F.struct(own.alias("b"), F.lit(False).alias("edge")))
+    )
+    x = df.withColumn("_to", F.explode(to)).withColumns({"_b": F.col("_to.b"), "_edge": F.col("_to.edge")}).drop("_to")
     w = W.partitionBy("page_id", "_b").orderBy("idx")
-    return x.unionByName(edge).withColumn(name, F.lag(column).over(w)).where(~F.col("_edge")).drop("_b", "_edge")
+    return x.withColumn(name, F.lag(column).over(w)).where(~F.col("_edge")).drop("_b", "_edge")
 
 
 def running(df: DataFrame, value: Column, name: str, how: str = "sum", block: int = BLOCK) -> DataFrame:
     """Adds the running sum or maximum of value from the page's first row to each row."""
     agg = {"sum": F.sum, "max": F.max}[how]
-    x = df.withColumn("_v", value).withColumn("_b", F.floor(F.col("idx") / block))
+    x = df.withColumn("_v", value).withColumn("_b", F.expr(f"idx div {block}"))
     w = W.partitionBy("page_id", "_b").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
     earlier = W.partitionBy("page_id").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     totals = x.groupBy("page_id", "_b").agg(agg("_v").alias("_t")).withColumn("_t", agg("_t").over(earlier))

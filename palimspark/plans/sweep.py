@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimspark.operators import analytics, compress, joins
+from palimspark.plans.stage import staged
 from palimspark.sources import dumps, store
 
 
@@ -23,7 +24,8 @@ def finished(spark: SparkSession, out_dir: str) -> DataFrame:
 def save_pages(revisions: DataFrame, out_dir: str, titles: DataFrame | None = None, source: str = "", **solver) -> DataFrame:
     """Compresses and writes pages; their manifest rows, with error where a page couldn't be written."""
     began = time.time()
-    rows = compress.compress(revisions.select("page_id", "idx", "revid", "ts", "text", "size"), **solver)
+    # a dump is parsed once
+    rows = compress.compress(staged(revisions.select("page_id", "idx", "revid", "ts", "text", "size"), "revisions"), **solver)
     told = {k: solver[k] for k in ("time_budget", "solver", "strategy") if k in solver}
     artifacts = compress.artifacts(rows, titles, **told)
     # a row per page: its id, path and error

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimspark.functions import text as text_fns
 from palimspark.operators import analytics, compress, delta, joins, layout, retrieve
+from palimspark.plans.stage import staged
 from palimspark.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +52,11 @@ def _fixed_sql(step: str, extra: str = "") -> str:
   sum(CASE WHEN is_anchor THEN size ELSE abs(size - prev_size) END)::BIGINT AS space_cost, sum(CASE WHEN is_anchor THEN 1 ELSE prev_size + abs(size - prev_size) END)::BIGINT AS time_cost FROM x GROUP BY page_id"""
 
 
+def _sizes(spark, sf_dir) -> DataFrame:
+    """Without texts, numbered once."""
+    return staged(tables.conversations(spark, sf_dir).select("page_id", "idx", "size"), "sizes")
+
+
 @query(f"WITH {_REV} SELECT page_id, idx, size FROM rev")
 def sizes(spark, sf_dir):
     return tables.conversations(spark, sf_dir).select("page_id", "idx", "size")
@@ -83,12 +89,12 @@ def candidates(spark, sf_dir):
 
 @query(f"{_ALL} SELECT page_id, idx, is_anchor, part_id FROM part")
 def partitions_all(spark, sf_dir):
-    return layout.partition_all(tables.conversations(spark, sf_dir).drop("text")).select("page_id", "idx", "is_anchor", "part_id")
+    return layout.partition_all(_sizes(spark, sf_dir)).select("page_id", "idx", "is_anchor", "part_id")
 
 
 @query(f"{_ALL} SELECT * FROM cost")
 def partition_costs(spark, sf_dir):
-    return layout.costs(layout.partition_all(tables.conversations(spark, sf_dir).drop("text")))
+    return layout.costs(layout.partition_all(_sizes(spark, sf_dir)))
 
 
 _SUMMARY = f"""{_ALL}, page AS (
@@ -99,20 +105,20 @@ _SUMMARY = f"""{_ALL}, page AS (
 
 @query(f"{_SUMMARY} SELECT page_id, n_revisions, n_anchors, orig_size, space_cost, time_cost, n_partitions, round(avg_chain_len, 6) AS avg_chain_len, max_chain_len, round(compression_ratio, 6) AS compression_ratio, round(anchor_density, 6) AS anchor_density FROM page")
 def page_summary(spark, sf_dir):
-    x = analytics.page_summary(layout.partition_all(tables.conversations(spark, sf_dir).drop("text")))
+    x = analytics.page_summary(layout.partition_all(_sizes(spark, sf_dir)))
     return x.withColumns({c: F.round(c, 6) for c in ("avg_chain_len", "compression_ratio", "anchor_density")})
 
 
 @query(f"""{_SUMMARY} SELECT count(*)::BIGINT AS artifacts, round(avg(compression_ratio), 6) AS mean_ratio, round(median(compression_ratio), 6) AS median_ratio,
   round(avg(anchor_density), 6) AS avg_density, round(avg(time_cost), 4) AS avg_time, round(avg(space_cost), 4) AS avg_space FROM page""")
 def corpus_aggregate(spark, sf_dir):
-    x = analytics.corpus_aggregate(analytics.page_summary(layout.partition_all(tables.conversations(spark, sf_dir).drop("text"))))
+    x = analytics.corpus_aggregate(analytics.page_summary(layout.partition_all(_sizes(spark, sf_dir))))
     return x.withColumns({c: F.round(c, 4 if c in ("avg_time", "avg_space") else 6) for c in x.columns[1:]})
 
 
 @query(f"{_ALL} SELECT chain_len, count(*)::BIGINT AS n FROM chain GROUP BY 1")
 def chain_lengths(spark, sf_dir):
-    parts = layout.partition_all(tables.conversations(spark, sf_dir).drop("text"))
+    parts = layout.partition_all(_sizes(spark, sf_dir))
     return analytics.chain_lengths(parts).groupBy("chain_len").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -120,7 +126,7 @@ def chain_lengths(spark, sf_dir):
   SELECT CASE WHEN hi = lo THEN 0 ELSE least(floor((chain_len - lo) / ((hi - lo) / 20)), 19) END::INT AS bin, lo, (hi - lo) / 20 AS w FROM chain, e
 ) SELECT bin, round(lo + bin * w, 6) AS low, count(*)::BIGINT AS n FROM b GROUP BY ALL""")
 def chain_histogram(spark, sf_dir):
-    x = analytics.chain_histogram(layout.partition_all(tables.conversations(spark, sf_dir).drop("text")))
+    x = analytics.chain_histogram(layout.partition_all(_sizes(spark, sf_dir)))
     return x.withColumn("low", F.round("low", 6))
 
 
@@ -188,11 +194,11 @@ def exhaustive_small(spark, sf_dir):
 
 @query(f"{_ALL} SELECT page_id, idx, max(CASE WHEN is_anchor THEN idx END) OVER (PARTITION BY page_id ORDER BY idx) AS anchor_idx FROM part")
 def asof_anchor(spark, sf_dir):
-    return layout.anchor_of(layout.partition_all(tables.conversations(spark, sf_dir).drop("text"))).select("page_id", "idx", "anchor_idx")
+    return layout.anchor_of(layout.partition_all(_sizes(spark, sf_dir))).select("page_id", "idx", "anchor_idx")
 
 
 def _compressed(spark, sf_dir) -> DataFrame:
-    return compress.compress(tables.conversations(spark, sf_dir))
+    return compress.compress(staged(tables.conversations(spark, sf_dir), "revisions"))
 
 
 @query(f"WITH {_REV} SELECT page_id, idx, revid, text FROM rev")
@@ -210,7 +216,7 @@ def artifact_roundtrip(spark, sf_dir):
 @query(f"WITH {_REV} SELECT page_id, idx, text FROM rev")
 def star_roundtrip(spark, sf_dir):
     """Deltas against the last checkpoint, every third revision."""
-    x = tables.conversations(spark, sf_dir)
+    x = staged(tables.conversations(spark, sf_dir), "revisions")
     parts = layout.anchor_of(layout.fixed_interval(x.drop("text"), 3))
     y = delta.with_delta(x, delta.checkpoints(parts))
     return y.select("page_id", "idx", F.when(F.col("patch").isNull(), F.col("text")).otherwise(delta.restored(F.col("patch"))).alias("text"))
@@ -221,8 +227,9 @@ def star_roundtrip(spark, sf_dir):
   round(n_anchors / n_revisions, 6) AS anchor_density, 'heuristic' AS solver, 'auto' AS strategy, n_revisions * n_revisions AS time_budget
 FROM cost c JOIN (SELECT page_id, count(*) AS n, avg(chain_len) AS a, max(chain_len) AS m FROM chain GROUP BY 1) k USING (page_id)""")
 def artifact_metrics(spark, sf_dir):
-    parts = layout.partition_all(tables.conversations(spark, sf_dir).drop("text"))
-    x = analytics.summarize_artifacts(compress.artifacts(compress.as_deltas(tables.conversations(spark, sf_dir), parts)))
+    rows = staged(tables.conversations(spark, sf_dir), "revisions")
+    parts = staged(layout.partition_all(rows.drop("text")), "parts")
+    x = analytics.summarize_artifacts(compress.artifacts(compress.as_deltas(rows, parts)))
     return x.withColumns({c: F.round(c, 6) for c in ("avg_chain_len", "compression_ratio", "anchor_density")})
 
 
@@ -256,13 +263,13 @@ def missing_ids(spark, sf_dir):
 
 @query(f"WITH {_EV} SELECT page_id, idx, epoch_us(ts) AS ts_us, text FROM ev WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-09 23:59:59'")
 def retrieve_time(spark, sf_dir):
-    x = retrieve.by_time(compress.compress(tables.events(spark, sf_dir)), "2024-01-05", "2024-01-09")
+    x = retrieve.by_time(compress.compress(staged(tables.events(spark, sf_dir), "revisions")), "2024-01-05", "2024-01-09")
     return x.select("page_id", "idx", F.unix_micros("ts").alias("ts_us"), "text")
 
 
 @query(f"WITH {_EV} SELECT page_id, idx, text FROM ev WHERE ts > TIMESTAMP '2024-01-05 06:00:00' AND ts < TIMESTAMP '2024-01-06 06:00:00'")
 def retrieve_time_exclusive(spark, sf_dir):
-    x = retrieve.by_time(compress.compress(tables.events(spark, sf_dir)), "2024-01-05T06:00Z", "2024-01-06T08:00:00+02:00", inclusive=False)
+    x = retrieve.by_time(compress.compress(staged(tables.events(spark, sf_dir), "revisions")), "2024-01-05T06:00Z", "2024-01-06T08:00:00+02:00", inclusive=False)
     return x.select("page_id", "idx", "text")
 
 
@@ -381,11 +388,11 @@ _ORD = """o AS (SELECT o_custkey AS page_id, o_orderkey AS revid, floor(o_totalp
 @query(f"WITH {_ORD.replace('o AS', 'rev AS', 1)}, {_STEP}, {_PART}, {_COST} SELECT * FROM cost")
 def order_history_costs(spark, sf_dir):
     """A numeric-only history: a customer's orders."""
-    return layout.costs(layout.partition_all(tables.orders(spark, sf_dir)))
+    return layout.costs(layout.partition_all(staged(tables.orders(spark, sf_dir), "revisions")))
 
 
 def _solved(spark, sf_dir, solver: str, strategy: str) -> DataFrame:
-    x = tables.orders(spark, sf_dir)
+    x = staged(tables.orders(spark, sf_dir), "revisions")
     chosen = layout.choose(x, 4000, strategy, solver)
     items = layout.candidates(x).join(chosen, ["page_id", "idx"])
     return items.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"), F.sum("weight").alias("weight"))
@@ -419,7 +426,7 @@ def knapsack_auto(spark, sf_dir):
 @query(f"WITH {_REV} SELECT page_id, idx, text FROM rev")
 def char_patch_roundtrip(spark, sf_dir):
     """Character deltas applied to their predecessors give the texts again."""
-    x = delta.with_delta(tables.conversations(spark, sf_dir), method="chars")
+    x = delta.with_delta(staged(tables.conversations(spark, sf_dir), "revisions"), method="chars")
     before = x.select("page_id", (F.col("idx") + 1).alias("idx"), F.col("text").alias("before"))
     apply = F.udf(lambda b, d: None if d is None else delta.apply_chars(b, d), "string", useArrow=True)
     y = x.join(before, ["page_id", "idx"], "left").withColumn("again", apply("before", "patch"))
@@ -428,7 +435,7 @@ def char_patch_roundtrip(spark, sf_dir):
 
 @query()
 def word_patch_sizes(spark, sf_dir):
-    x = delta.with_delta(tables.conversations(spark, sf_dir), method="words")
+    x = delta.with_delta(staged(tables.conversations(spark, sf_dir), "revisions"), method="words")
     return x.where("patch is not null").select("page_id", "idx", F.octet_length("patch").alias("bytes"))
 
 

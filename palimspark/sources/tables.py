@@ -17,8 +17,9 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = read(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("page_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("revid"), F.col("turn"), F.coalesce("text", F.lit("")).alias("text")
     )
-    x = blocks.number(x, "page_id", "turn").drop("turn")
-    return x.select("page_id", "idx", "revid", F.lit(None).cast("timestamp").alias("ts"), "text", F.length("text").cast("long").alias("size"))
+    # the size before the shuffle, so that plans without texts don't move them
+    x = blocks.number(x.withColumn("size", F.length("text").cast("long")), "page_id", "turn").drop("turn")
+    return x.select("page_id", "idx", "revid", F.lit(None).cast("timestamp").alias("ts"), "text", "size")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +27,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = read(spark, sf_dir, "events").select(F.col("user_id").alias("page_id"), F.col("event_id").alias("revid"), F.col("ts").cast("timestamp").alias("ts"), F.col("props").alias("text"))
     # by microsecond; events of one microsecond, by id
     x = x.withColumn("_k", F.unix_micros("ts")).withColumn("text", F.coalesce("text", F.lit("")))
-    x = _by_time(x)
-    return x.select("page_id", "idx", "revid", "ts", "text", F.length("text").cast("long").alias("size"))
+    x = _by_time(x.withColumn("size", F.length("text").cast("long")))
+    return x.select("page_id", "idx", "revid", "ts", "text", "size")
 
 
 def _by_time(x: DataFrame, width: int = 86_400_000_000) -> DataFrame:
