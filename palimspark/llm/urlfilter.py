@@ -10,8 +10,8 @@ sorted rules alongside and keeps the rules whose interval is open on a stack.
 The winner is the fitting rule with the most characters in host + path (ties:
 longer host, then the smaller action).
 
-Range partitioning is by (key, path, id), so that a host with a third of all
-pages spreads over tasks. Rules are broadcast only up to MAX_RULES of them;
+Range partitioning is by (key, path, id, place in the scan), so that a host, or
+one url, with a third of all pages spreads over tasks. Rules are broadcast only up to MAX_RULES of them;
 beyond that they stay a table: each distinct (host, path) is joined with the
 rules of its host's suffixes by equality.
 """
@@ -103,9 +103,10 @@ def filter_urls(
             return _by_suffix(x, spark.createDataFrame(list(rules), "action string, host string, path string"), default)
         listed = [(a, h.lower(), p) for a, h, p in rules]
     key = F.when(F.col("host") == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split("host", r"\.", -1)), SEP), F.lit(SEP)))
-    x = x.withColumn("key", key)
+    # the place in the scan, last, parts rows that are alike in everything
+    x = x.withColumn("key", key).withColumn("place", F.monotonically_increasing_id())
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    x = x.repartitionByRange(parts, "key", "path", "page_id").sortWithinPartitions("key")
+    x = x.repartitionByRange(parts, "key", "path", "page_id", "place").drop("place").sortWithinPartitions("key")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # one sweep over the whole sorted partition, batch by batch
