@@ -106,7 +106,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remai
     # a row of a table of labels is a few bytes; the sample is bounded
     known = known.groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(max_rows)
     x = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return x.join(F.broadcast(known), "id").select("h", "id", "text", "y")
+    # an id that many rows have counts once, with its least text
+    return x.join(F.broadcast(known), "id").groupBy("h", "id", "y").agg(F.min("text").alias("text")).select("h", "id", "text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, remainder: int = 1, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Scorer:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimspark.llm.common import MEMO_ENTRIES, held_out, pieces, small_batches
+from palimspark.llm.common import MEMO_ENTRIES, held_out, pieces, small_batches, tidy
 from palimspark.llm.quality import ftrl, labelled
 
 BITS = 17
@@ -197,6 +197,11 @@ class Scorer:
     def __getstate__(self):
         return {"counts": self.counts, "weights": self.weights, "bias": self.bias, "_restorer": None}
 
+    def forget(self) -> None:
+        """Lets the memo go; a worker keeps its last task's function."""
+        self._restorer = None
+        tidy()
+
     def score(self, texts: list[str]) -> np.ndarray:
         r = self._restorer = self._restorer or Restorer(Channel(self.counts))
         z = np.empty(len(texts))
@@ -267,6 +272,7 @@ def score(docs: DataFrame, scorer: Scorer, modulus: int = 5, remainder: int = 0,
         for batch, texts in pieces(batches):
             p = scorer.score(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        scorer.forget()
 
     return x.mapInArrow(run, f"doc_id {x.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
@@ -278,5 +284,6 @@ def keep_clean(docs: DataFrame, scorer: Scorer, text_col: str = "text", threshol
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, text_col):
             yield batch.filter(pa.array(scorer.score(texts) < threshold))
+        scorer.forget()
 
     return docs.mapInArrow(run, docs.schema)

@@ -51,12 +51,28 @@ def test_pruned_viterbi_is_the_best_tagging():
             assert all(best[i] == 0 for i in np.flatnonzero(closed))  # what pruning skips is outside
 
 
-def test_gradient_is_that_of_the_likelihood():
-    """Training raises the likelihood of the windows' tags over the untrained model."""
+def test_field_finds_secrets_by_context():
     found = [secrets_crf.crf_spans([f"walk past the stones token = '{s}' and home"], MODEL)[0] for s in ("zz81kq02mm4x7p1", "b7d91mxk20qz8w3v")]
     assert all(found) and secrets_crf.crf_spans(["the quiet river runs past old stones", "", " "], MODEL) == [[], [], []]
 
 
+def test_gradient_is_that_of_the_likelihood():
+    """One tiny window: the fitted field gives its tags more than any other tagging."""
+    x, y = np.array([[1, 2, 3]]), np.array([[0, 1, 2]])
+    m = secrets_crf.train(x, y, np.zeros(1, int), epochs=80)
+
+    def value(tags):
+        e = m.own[x[0]] + m.file[0]
+        e[1:] += m.prev[x[0, :-1]]
+        e[2:] += m.prev2[x[0, :-2]]
+        e[:-1] += m.nxt[x[0, 1:]]
+        return sum(e[i, t] for i, t in enumerate(tags)) + sum(m.trans[a, b] for a, b in zip(tags, tags[1:]))
+
+    every = {t: value(t) for t in itertools.product(range(3), repeat=3)}
+    p = np.exp(every[(0, 1, 2)] - np.logaddexp.reduce(list(every.values())))
+    assert p > 0.9
+
+
 def test_secrets_messy_rows(spark, docs, clashing, empty):
     for table in (docs, clashing):
         got = secrets_crf.find(table, MODEL).collect()
