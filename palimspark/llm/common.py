@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 #: ASCII white space; everything else is part of a word.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 #: Characters of text that a worker turns into Python objects at a time.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 #: Upper bound of entries in a worker's memo tables; a full table is emptied, results don't change.
-MEMO_ENTRIES = 150_000
+MEMO_ENTRIES = 80_000
 #: Rows of an Arrow batch; whole texts are long, and a batch is in memory on both sides.
 BATCH_ROWS = 1_000
 #: Memo tables of this process, emptied when a task ends.
