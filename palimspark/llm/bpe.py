@@ -183,7 +183,7 @@ class Encoder:
         memo = self.memo
         ids = " ".join(map(memo.__getitem__, words))
         tokens = " ".join(map(memo.tokens.__getitem__, words))
-        if len(memo.tokens) > MEMO_ENTRIES:
+        if len(memo.tokens) > MEMO_ENTRIES * 3 // 2:  # a miss is dear here
             memo.clear()
             memo.tokens.clear()
         return ids, tokens
