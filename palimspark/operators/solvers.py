@@ -5,6 +5,8 @@ Pure functions on lists of one page; each returns the ascending positions taken.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 Numbers = list[int]
@@ -64,33 +66,105 @@ def greedy(values: Numbers, weights: Numbers, capacity: int, swaps: bool = True)
     return sorted(inside)
 
 
+def _grow(row: np.ndarray, size: int, gain: float, bits: np.ndarray | None = None) -> None:
+    """One more item in a row of the greatest gain for each size; bits: gets the sizes where it is taken."""
+    if size >= len(row):
+        return
+    more = row[: len(row) - size] + gain
+    if bits is not None:
+        taken = np.zeros(len(row), bool)
+        taken[size:] = more > row[size:]
+        bits[:] = np.packbits(taken)
+    np.maximum(row[size:], more, out=row[size:])
+
+
+def _decide(sizes: Numbers, gains: Numbers, row: np.ndarray, pick: Callable[[np.ndarray], int]) -> tuple[list[int], int]:
+    """Positions taken, from the last, to reach the size that pick finds in the last row; the size that is left at the first.
+
+    A table of more than MOST_CELLS decisions is cut in halves, the second from
+    the row between them: a few rows of memory whatever the number of items.
+    """
+    n = len(sizes)
+    if n > 1 and n * len(row) > MOST_CELLS:
+        half, between = n // 2, row.copy()
+        for k in range(half):
+            _grow(between, sizes[k], gains[k])
+        late, left = _decide(sizes[half:], gains[half:], between, pick)
+        del between
+        early, left = _decide(sizes[:half], gains[:half], row[: left + 1], lambda _: left)
+        return [k + half for k in late] + early, left
+    row, bits = row.copy(), np.zeros((n, -(-len(row) // 8)), np.uint8)
+    for k in range(n):
+        _grow(row, sizes[k], gains[k], bits[k])
+    left, out = pick(row), []
+    for k in range(n - 1, -1, -1):
+        if bits[k, left >> 3] >> (7 - (left & 7)) & 1:
+            out.append(k)
+            left -= sizes[k]
+    return out, left
+
+
 def scaled(values: Numbers, weights: Numbers, capacity: int, eps: float = EPS) -> Numbers:
-    """Least weight for each scaled total; within 1 - eps of the best. Beyond MOST_CELLS cells, greedy."""
+    """Least weight for each scaled total; within 1 - eps of the best at every size."""
     fits = [i for i in range(len(values)) if weights[i] <= capacity and values[i] > 0]
     if not fits:
         return []
     # greedy finds half of the best at least, so the best isn't above twice that
-    bound = sum(values[i] for i in greedy(values, weights, capacity, swaps=False))
+    bound = sum(values[fits[k]] for k in greedy([values[i] for i in fits], [weights[i] for i in fits], capacity, swaps=False))
     unit = max(1, int(eps * bound / len(fits)))
     small = [values[i] // unit for i in fits]
     top = min(sum(small), 2 * bound // unit)
-    if top == 0 or len(fits) * (top + 1) > MOST_CELLS:
+    if top == 0:
         return greedy(values, weights, capacity)
-    least = np.full(top + 1, np.inf)
-    least[0] = 0
-    taken = np.zeros((len(fits), top + 1), bool)
-    for k, i in enumerate(fits):
-        v = small[k]
-        if 0 < v <= top:
-            less = least[: top + 1 - v] + weights[i]
-            taken[k, v:] = less < least[v:]
-            least[v:] = np.minimum(least[v:], less)
-    left, out = int(np.flatnonzero(least <= capacity)[-1]), []
-    for k in range(len(fits) - 1, -1, -1):
-        if taken[k, left]:
-            out.append(fits[k])
-            left -= small[k]
-    return out[::-1]
+    if len(fits) * (top + 1) > MOST_CELLS:
+        got = _large_and_small(values, weights, capacity, min(eps, 1), fits, bound, len(fits) * (top + 1))
+        if got is not None:
+            return got
+    items = [k for k, v in enumerate(small) if 0 < v <= top]
+    taken, _ = _decide([small[k] for k in items], [-weights[fits[k]] for k in items], _empty(top), lambda row: int(np.flatnonzero(row >= -capacity)[-1]))
+    return [fits[items[k]] for k in taken[::-1]]
+
+
+def _empty(top: int) -> np.ndarray:
+    row = np.full(top + 1, -np.inf)
+    row[0] = 0
+    return row
+
+
+def _large_and_small(values: Numbers, weights: Numbers, capacity: int, eps: float, fits: list[int], bound: int, most: int) -> Numbers | None:
+    """Also within 1 - eps, by a table that doesn't grow with the items; None where it isn't under most cells.
+
+    Values over eps * bound / 2 are scaled by eps^2 * bound / 8; fewer than 4 / eps
+    of them fit the best, which costs half of eps. Of one scaled value only as many
+    as fit a total count, the lightest. The others fill the rest by value for
+    weight, which costs one of them at most, the other half.
+    """
+    unit = max(1, int(eps * eps * bound / 8))
+    top = 2 * bound // unit
+    kept: list[int] = []
+    before, n = 0, 0
+    for i in sorted((i for i in fits if values[i] > eps * bound / 2), key=lambda i: (values[i] // unit, weights[i], i)):
+        v = values[i] // unit
+        before, n = v, n + 1 if v == before else 1
+        if n <= top // v:
+            kept.append(i)
+    if len(kept) * (top + 1) >= most:
+        return None
+    rest = sorted((i for i in fits if values[i] <= eps * bound / 2), key=lambda i: -values[i] / weights[i] if weights[i] else float("-inf"))
+    load = np.cumsum([0] + [weights[i] for i in rest])
+    gain = np.cumsum([0] + [values[i] for i in rest])
+
+    def pick(row: np.ndarray) -> int:
+        at = np.flatnonzero(row >= -capacity)
+        return int(at[np.argmax(at * unit + gain[np.searchsorted(load, capacity + row[at], "right") - 1])])
+
+    out = [kept[k] for k in _decide([values[i] // unit for i in kept], [-weights[i] for i in kept], _empty(top), pick)[0]]
+    left = capacity - sum(weights[i] for i in out)
+    for i in rest:
+        if weights[i] <= left:
+            out.append(i)
+            left -= weights[i]
+    return sorted(out)
 
 
 def sparse(values: Numbers, weights: Numbers, capacity: int, max_states: int = MAX_STATES) -> Numbers:

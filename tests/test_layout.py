@@ -66,6 +66,26 @@ def test_solvers_against_all_subsets():
         assert value(solvers.greedy(v, w, cap)) >= 0.5 * best
 
 
+def test_scaled_keeps_its_bound_on_large_pages(monkeypatch):
+    big = 10**7
+    v, w = [big + 3, big, big] + [1] * 6000, [big + 1, big, big] + [2 * big] * 6000
+    for strategy in ("fptas", "auto"):
+        got = solvers.heuristic(v, w, 2 * big, strategy)
+        assert sum(w[i] for i in got) <= 2 * big and sum(v[i] for i in got) >= 0.9 * 2 * big
+    rng = random.Random(5)
+    for most in (1, 200, 5000):
+        for _ in range(60):
+            n, high = rng.randrange(1, 60), rng.choice([3, 40, 10**6])
+            v, w = [rng.randrange(1, high) ** rng.choice([1, 2]) for _ in range(n)], [rng.randrange(1, 50) for _ in range(n)]
+            cap = rng.randrange(1, 400)
+            best = sum(v[i] for i in solvers.exact(v, w, cap))
+            for eps in (0.05, 0.1, 0.5):
+                with monkeypatch.context() as m:
+                    m.setattr(solvers, "MOST_CELLS", most)
+                    got = solvers.scaled(v, w, cap, eps)
+                assert sum(w[i] for i in got) <= cap and sum(v[i] for i in got) >= (1 - eps) * best and got == sorted(set(got))
+
+
 def test_partition_is_one_of_all(spark):
     x = by_sizes(spark, [3, 9, 2, 7, 7], [5, 1, 30])
     every = {(r.page_id, r.space, r.time) for r in layout.enumerate_partitions(x).collect()}
