@@ -6,7 +6,9 @@ letters - becomes a lattice of characters: a sign may stand for letters, a
 repeated letter or a separator may be dropped, a gap between single letters may be
 closed. Viterbi finds the path with the greatest product of channel and a
 trigram model of characters; its letters are the restored word. A token without
-such signs has one path, itself.
+such signs has one path, itself. A token with marks inside also counts as the
+words between them, restored one by one, and as its restored parts, one by one
+and joined.
 
 The character model counts all documents, whole. The scorer is a logistic
 regression on which restored words and word beginnings a text has, by
@@ -32,7 +34,7 @@ from palimspark.llm.quality import ftrl, labelled
 BITS = 17
 DIM = 1 << BITS
 MAX_ROWS = 8_000
-RUN = 4
+RUN = 2
 LEET = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i",
     "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
@@ -44,7 +46,7 @@ SUBSTITUTE, KEEP_SIGN, REPEAT, DROP, CLOSE, GAP = -1.5, -9.0, -0.7, -0.7, -0.2,
 _CODE = np.zeros(256, np.int64)
 _CODE[97:123] = _CODE[65:91] = np.arange(1, 27)
 _AMBIGUOUS = re.compile(r"[a-z][0-9@$!|+(€£¡]|[0-9@$!|+(€£¡][a-z]|([a-z])\1\1|[a-z][.\-_*~'`^=,:;/\\][a-z]", re.I)
-_SPACED = 1 << 40
+_SPACED, _MORE = 1 << 40, 1 << 41
 
 
 def char_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -140,20 +142,59 @@ class Channel:
 
 def word_features(word: str) -> int:
     """Two packed features: the word and its beginning."""
-    raw = word[:64].encode("utf-8", "replace")
+    raw = word.encode("utf-8", "replace")
     return (zlib.crc32(raw) & (DIM // 2 - 1)) | ((zlib.crc32(b"^" + word[:5].encode("utf-8", "replace")) & (DIM // 2 - 1)) | DIM // 2) << BITS
 
 
+def split(text: str, kept: str = "") -> list[str]:
+    """The pieces between white space, signs and punctuation that isn't in kept; combining marks don't split."""
+    if text.isalnum():
+        return [text]
+    return "".join(c if c.isalnum() or c in kept or unicodedata.category(c)[0] not in "PSZC" else " " for c in text).split()
+
+
+_SIGNS = "".join(c for c in LEET if not c.isalnum())
+
+
 class Restorer(dict):
-    """token -> packed features of the restored word; single characters are marked."""
+    """token -> packed features of the restored word; single characters and tokens of several words are marked."""
 
     def __init__(self, channel: Channel):
         self.channel = channel
+        self._more: dict[str, tuple[int, ...]] = {}
+        self._last: tuple[str, tuple[int, ...]] = ("", ())
 
-    def word(self, token: str) -> str:
+    def plain(self, token: str) -> str:
         if not token.isascii():
             token = "".join(c for c in unicodedata.normalize("NFKC", token) if unicodedata.category(c) != "Cf")
-        token = token.lower()
+        return token.lower()
+
+    def more(self, token: str) -> tuple[int, ...]:
+        """Packed features of the words in a token with marks inside, besides those of the whole."""
+        if (known := self._more.get(token)) is not None:
+            return known
+        if self._last[0] == token:
+            return self._last[1]
+        core = self.plain(token).strip(EDGE)
+        if core.isalnum():
+            return ()
+        whole = self.word(token)
+        parts = split(whole)
+        found = {*parts, "".join(parts)}
+        # a sign may be a letter or a mark
+        for piece in {*split(core, _SIGNS), *split(core)}:
+            found.update(split(self.word(piece)))
+        value = tuple(word_features(w) for w in sorted(found - {whole}) if len(w) > 1)
+        if len(token) > 64:
+            self._last = (token, value)
+        elif value:
+            if len(self._more) > MEMO_ENTRIES // 4:
+                self._more.clear()
+            self._more[token] = value
+        return value
+
+    def word(self, token: str) -> str:
+        token = self.plain(token)
         core = token.strip(EDGE)
         if _AMBIGUOUS.search(core):
             return self.channel.restore(core)
@@ -165,7 +206,7 @@ class Restorer(dict):
         if len(self) > MEMO_ENTRIES:
             self.clear()
         core = token.strip(EDGE) or token
-        value = word_features(self.word(token)) | (_SPACED if len(core) == 1 else 0)
+        value = word_features(self.word(token)) | (_SPACED if len(core) == 1 else 0) | (_MORE if self.more(token) else 0)
         if len(token) <= 64:
             self[token] = value
         return value
@@ -174,8 +215,8 @@ class Restorer(dict):
         """Distinct features of a text."""
         tokens = text.split()
         ids = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        single = ids >= _SPACED
-        extra = []
+        single = (ids & _SPACED) != 0
+        extra = [f for t in {tokens[k] for k in np.flatnonzero(ids & _MORE)} for f in self.more(t)]
         if len(ids) >= RUN and single.sum() >= RUN:
             edges = np.flatnonzero(np.diff(np.concatenate([[0], single.view(np.int8), [0]])))
             for a, b in zip(edges[::2], edges[1::2]):

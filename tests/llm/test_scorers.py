@@ -87,6 +87,19 @@ def test_lattice_decoding():
     assert r.channel.close_up(list("scum")) == ["scum"]
 
 
+def test_every_word_of_a_token_counts():
+    r = toxicity.Restorer(channel())
+    has = lambda text, word: toxicity.word_features(word) & (toxicity.DIM - 1) in r.features(text)
+    long = ",".join(GOOD * 20 + ["idiot"])
+    for text in ("you.are.an.idiot", "stupid/idiot", "well,idiot", "word—idiot", "word—1d10t!", "well!idiot", "x|idiot", "river...idiot", long, "w-o-r-t-h-l-e-s-s/idiot"):
+        assert has(text, "idiot") and has("quiet " + text + " water", "idiot"), text
+    assert has("i-d-i-o-t", "idiot") and has("i d i o t", "idiot")
+    assert all(has("s c u", w) for w in r.channel.close_up(list("scu")))
+    assert not has("quiet water", "idiot")
+    a, b = "x" * 80 + "y", "x" * 80 + "z"
+    assert not has(a, b)
+
+
 def test_viterbi_finds_the_best_path():
     ch = channel()
     steps = [[(9, 0.0, "i"), (12, -0.5, "l")], [(4, 0.0, "d")], [(9, -1.0, "i"), (12, -1.0, "l"), (-1, -2.0, "")], [(15, 0.0, "o")]]
