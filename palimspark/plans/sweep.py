@@ -40,7 +40,9 @@ def sweep(
 ) -> DataFrame:
     """Manifest of all wanted pages: written now, or skipped as finished before. Pages in no file are left out.
 
-    Only files that cover a page still to do are read. The strategy is fptas unless told.
+    Only files that cover a page still to do are read. A page in several of these
+    comes from the one it is assigned to, if it is there, and counts once. The
+    strategy is fptas unless told.
     """
     solver = {"strategy": "fptas"} | solver
     ids = spark.createDataFrame([(i,) for i in dict.fromkeys(page_ids)], "page_id long")
@@ -51,8 +53,9 @@ def sweep(
     skipped = joins.skipped(found, done) if resume and not force else found.where(F.lit(False)).withColumn("skipped", F.lit(True))
     out = skipped.select("page_id", F.col("path").alias("source_file"), "skipped")
     if files:
-        revisions = dumps.revisions(dumps.xml_pages(spark, files), todo, limit_per_page=limit_per_page, max_pages=max_pages)
-        titles = revisions.groupBy("page_id").agg(F.first("title").alias("title"))
-        new = save_pages(revisions, out_dir, titles, **solver).drop("source_file").join(todo.withColumnRenamed("path", "source_file"), "page_id")
+        pages = dumps.files_of(spark, dumps.xml_pages(spark, files), files)
+        revisions = dumps.revisions(pages, todo, limit_per_page=limit_per_page, max_pages=max_pages)
+        heads = staged(revisions.groupBy("page_id").agg(F.first("title").alias("title"), F.first("path").alias("source_file")), "heads")
+        new = save_pages(revisions, out_dir, heads, **solver).drop("source_file").join(heads.select("page_id", "source_file"), "page_id")
         out = joins.append_rows(out, new)
     return out

@@ -7,7 +7,8 @@ import shutil
 import urllib.request
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimspark.functions.times import iso_to_ts
@@ -27,7 +28,26 @@ def xml_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
     if any(p.endswith(".7z") for p in paths):
         raise ValueError("7z isn't a codec that Spark reads; unpack the file or take its bz2 twin")
     reader = spark.read.format("xml").schema(PAGE).option("rowTag", "page").option("ignoreSurroundingSpaces", "false").option("attributePrefix", "_")
-    return reader.load(",".join(paths))
+    return reader.load(paths)
+
+
+def once(pages: DataFrame, *first: Column) -> DataFrame:
+    """One row of each page id: first by the given order, then with the most revisions, then by a hash of the row. Rows without an id stay."""
+    x = pages.withColumn("_own", F.when(F.col("id").isNull(), F.monotonically_increasing_id()))
+    best = W.partitionBy("id", "_own").orderBy(*first, F.size("revision").desc(), F.xxhash64("ns", "title", "revision"))
+    return x.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_own", "_n")
+
+
+def files_of(spark: SparkSession, pages: DataFrame, paths: list[str]) -> DataFrame:
+    """Adds path: the one of paths that a page was read from, as it is written there."""
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    known = []
+    for name in paths:
+        at = path(name)
+        known.append((at.getFileSystem(conf).makeQualified(at).toUri().toString(), name))
+    same = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    names = spark.createDataFrame(known, "_file string, path string").withColumn("_file", same(F.col("_file")))
+    return pages.withColumn("_file", same(F.col("_metadata.file_path"))).join(F.broadcast(names), "_file", "left").drop("_file")
 
 
 def revisions(
@@ -37,16 +57,21 @@ def revisions(
     """Revision rows of the wanted pages (every page where neither ids nor titles are given).
 
     A missing id is -1, a missing time stamp or text is empty. A page that a dump
-    holds twice counts once: the row with the most revisions.
+    holds twice counts once: the row with the most revisions. Where pages and the
+    table of ids both have a path, a row from that path goes before the others, and
+    path is kept.
     """
+    first, own = [], [c for c in ("path",) if c in pages.columns]
     x = pages.limit(max_pages) if max_pages is not None else pages
     if isinstance(page_ids, DataFrame):
-        x = x.join(page_ids.select(F.col("page_id").alias("id")).distinct(), "id", "left_semi")
+        wanted = page_ids.select(F.col("page_id").alias("id"), *[F.col(c).alias("_" + c) for c in own if c in page_ids.columns]).dropDuplicates(["id"])
+        first = [F.coalesce(F.col("path") == F.col("_path"), F.lit(False)).desc()] if "_path" in wanted.columns else []
+        x = x.join(wanted, "id")
     elif page_ids is not None:
         x = x.where(F.col("id").isin(page_ids) | (F.col("id").isNull() & F.col("title").isin(titles or [])))
     elif titles is not None:
         x = x.where(F.col("title").isin(titles))
-    x = x.select(F.col("id").alias("page_id"), "title", F.posexplode_outer("revision").alias("idx", "r")).where("r is not null")
+    x = once(x, *first).select(F.col("id").alias("page_id"), "title", *own, F.posexplode_outer("revision").alias("idx", "r")).where("r is not null")
     if limit_per_page:
         x = x.where(F.col("idx") < limit_per_page)
     stamp = F.coalesce(F.trim("r.timestamp"), F.lit(""))
@@ -54,7 +79,7 @@ def revisions(
     x = x.select(
         "page_id", "title", "idx", F.coalesce(F.trim("r.id").try_cast("long"), F.lit(-1)).alias("revid"), stamp.alias("timestamp"), iso_to_ts(stamp).alias("ts"),
         text.alias("text"), F.length(text).cast("long").alias("size"), F.col("r.text._bytes").alias("bytes"), F.col("r.sha1").alias("sha1"),
-        F.coalesce("r.contributor.username", "r.contributor.ip").alias("contributor"), F.col("r.comment").alias("comment"),
+        F.coalesce("r.contributor.username", "r.contributor.ip").alias("contributor"), F.col("r.comment").alias("comment"), *own,
     )
     return x.orderBy("page_id", "idx").limit(limit) if limit is not None else x
 

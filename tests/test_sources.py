@@ -147,6 +147,29 @@ def test_sweep_resume_and_cli(spark, dump, tmp_path):
     assert cli.run(["build-index", "--file", xml, "--index", str(tmp_path / "idx")], spark, said) == 0
 
 
+def test_a_page_in_overlapping_files_counts_once(spark, tmp_path):
+    d, out = tmp_path / "two files", str(tmp_path / "out")
+    d.mkdir()
+
+    def write(name, *pages):
+        (d / name).write_bytes(bz2.compress(f'<mediawiki xmlns="{SPACE}">{"".join(pages)}</mediawiki>'.encode()))
+
+    revs = [_revision(i, f"2024-01-0{i}T00:00:00Z", f"<text>{'x' * i}</text>") for i in (1, 2, 3)]
+    other = [_revision(i, f"2024-02-0{i}T00:00:00Z", f"<text>{'y' * i}</text>") for i in (4, 5, 6, 7)]
+    # 5 is twice in its own file, 7 in both with more revisions in the other, 8 only in the file it isn't assigned to
+    write("a-p1p10.bz2", _page("Five", 0, 5, *revs[:2]), _page("Five", 0, 5, *revs), _page("Seven", 0, 7, *revs))
+    write("b-p6p20.bz2", _page("Five", 0, 5, *other), _page("Seven", 0, 7, *other), _page("Eight", 0, 8, *revs), _page("Twelve", 0, 12, *revs))
+    rows = {r.page_id: r for r in sweep.sweep(spark, str(d), [5, 7, 8, 12], out, time_budget=1000).collect()}
+    assert sorted(rows) == [5, 7, 8, 12] and all(r.error is None for r in rows.values())
+    assert {p: r.source_file[-11:-4] for p, r in rows.items()} == {5: "a-p1p10", 7: "a-p1p10", 8: "b-p6p20", 12: "b-p6p20"}
+    for page in (5, 7, 8, 12):
+        long = compress.explode(store.load(spark, f"{out}/page_{page}.comp.gz"))
+        assert [r.text for r in retrieve.by_range(long, 0, 9).orderBy("idx").collect()] == ["x", "xx", "xxx"]
+    both = [str(d / "a-p1p10.bz2"), str(d / "b-p6p20.bz2")]
+    got = dumps.revisions(dumps.xml_pages(spark, both), [5, 7]).collect()
+    assert sorted((r.page_id, r.idx, r.revid) for r in got) == [(p, i, i + 4) for p in (5, 7) for i in range(4)]
+
+
 def test_manifest_without_rows(spark, tmp_path):
     store.write_manifest(spark.createDataFrame([], "b int, a int"), str(tmp_path / "m"), {"dump": "d"})
     assert (tmp_path / "m.csv").read_text().strip() == "a,b"
