@@ -11,32 +11,22 @@ import numpy as np
 
 Numbers = list[int]
 AUTO, EPS, MAX_STATES = "auto", 0.1, 100_000
-#: Cells of the exact table; beyond, ask for a heuristic.
+#: Cells of a table of decisions that is kept whole.
 MOST_CELLS = 500_000_000
+#: Capacity up to which the exact solver takes any number of items; its rows are in memory.
+MOST_CAPACITY = 10_000_000
 
 
 def exact(values: Numbers, weights: Numbers, capacity: int) -> Numbers:
-    """Of equal totals, the one that leaves the later items out."""
+    """Of equal totals, the one that leaves the later items out. Any number of items; more than MOST_CELLS cells are for capacities up to MOST_CAPACITY."""
     if capacity <= 0:
         return []
-    n = len(values)
-    capacity = min(capacity, sum(weights))
-    if n * (capacity + 1) > MOST_CELLS:
-        raise ValueError(f"{n} items by {capacity} capacity is too much for the exact solver; use a heuristic")
-    best = np.zeros(capacity + 1, np.int64)
-    taken = np.zeros((n, capacity + 1), bool)
-    for i, v in enumerate(values):
-        w = weights[i]
-        if w <= capacity:
-            more = best[: capacity + 1 - w] + v
-            taken[i, w:] = more > best[w:]
-            best[w:] = np.maximum(best[w:], more)
-    out, left = [], capacity
-    for i in range(n - 1, -1, -1):
-        if taken[i, left]:
-            out.append(i)
-            left -= weights[i]
-    return out[::-1]
+    fits = [i for i in range(len(values)) if weights[i] <= capacity and values[i] > 0]
+    capacity = min(capacity, sum(weights[i] for i in fits))
+    if len(fits) * (capacity + 1) > MOST_CELLS and capacity > MOST_CAPACITY:
+        raise ValueError(f"{len(fits)} items by {capacity} capacity is too much for the exact solver; use a heuristic")
+    taken, _ = _decide([weights[i] for i in fits], [values[i] for i in fits], np.zeros(capacity + 1, np.int64), lambda row: capacity)
+    return [fits[k] for k in taken[::-1]]
 
 
 def greedy(values: Numbers, weights: Numbers, capacity: int, swaps: bool = True) -> Numbers:

@@ -66,6 +66,23 @@ def test_solvers_against_all_subsets():
         assert value(solvers.greedy(v, w, cap)) >= 0.5 * best
 
 
+def test_exact_takes_any_number_of_items(monkeypatch):
+    rng = random.Random(6)
+    n = 130_000
+    v, w = [rng.randrange(1, 50) for _ in range(n)], [rng.randrange(1000, 3000) for _ in range(n)]
+    v[77_777], w[77_777], v[100_001], w[100_001] = 900, 1500, 800, 2500
+    assert solvers.exact(v, w, 4000) == [77_777, 100_001]
+    assert solvers.exact([9] * 2000 + [1, 2], [10**9] * 2000 + [1, 3], 10**6) == [2000, 2001]
+    for _ in range(100):
+        n = rng.randrange(1, 40)
+        v, w = [rng.randrange(1, 8) for _ in range(n)], [rng.randrange(0, 12) for _ in range(n)]
+        cap = rng.randrange(1, 100)
+        whole = solvers.exact(v, w, cap)
+        with monkeypatch.context() as m:
+            m.setattr(solvers, "MOST_CELLS", rng.choice([1, 50, 300]))
+            assert solvers.exact(v, w, cap) == whole
+
+
 def test_scaled_keeps_its_bound_on_large_pages(monkeypatch):
     big = 10**7
     v, w = [big + 3, big, big] + [1] * 6000, [big + 1, big, big] + [2 * big] * 6000
