@@ -40,7 +40,7 @@ class _Hashes(dict):
         if len(self) > MEMO_ENTRIES:
             self.clear()
         caps = len(token) > 1 and token.isupper()
-        value = (zlib.crc32(token[:64].encode("utf-8", "replace")) & 0x7FFFFFFE) | caps
+        value = (zlib.crc32(token.encode("utf-8", "replace")) & 0x7FFFFFFE) | caps
         if len(token) <= 64:
             self[token] = value
         return value

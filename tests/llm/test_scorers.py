@@ -100,6 +100,12 @@ def test_every_word_of_a_token_counts():
     assert not has(a, b)
 
 
+def test_quality_hashes_whole_tokens():
+    feature = lambda text: quality.features([text])[0].tolist()
+    assert feature("x" * 80 + "y") != feature("x" * 80 + "z")
+    assert feature("x" * 80 + "y") == feature("x" * 80 + "y")
+
+
 def test_viterbi_finds_the_best_path():
     ch = channel()
     steps = [[(9, 0.0, "i"), (12, -0.5, "l")], [(4, 0.0, "d")], [(9, -1.0, "i"), (12, -1.0, "l"), (-1, -2.0, "")], [(15, 0.0, "o")]]
