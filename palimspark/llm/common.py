@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
 import shutil
@@ -12,8 +13,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space; everything else is part of a word.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -27,6 +29,7 @@ BATCH_ROWS = 1_000
 memos: list[dict] = []
 
 _own_dirs: list[str] = []
+_written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,11 +45,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dirs[0]}"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of Arrow batches in this session, if they are more."""
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bounds the rows of Arrow batches for what is run inside; the session's setting is as before afterwards."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def integer_id(df: DataFrame, column: str) -> Column:
+    """The id as a long; TypeError for a column of another kind than integers, whose order or division wouldn't be that of its values."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{column} must be an integer column, not {kind.simpleString()}")
+    return F.col(column).cast("long")
 
 
 def tidy() -> None:
@@ -62,14 +79,41 @@ def tidy() -> None:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: a short lineage that outlives lost executors."""
+    """df written as Parquet in the shared folder and read back: a short lineage that outlives lost executors.
+
+    The folder goes when the session ends, as a result that was returned lazily may still read it.
+    """
     spark = df.sparkSession
-    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes the tables of cut() that df reads itself; for those that no result reads."""
+    for file in df.inputFiles()[:1]:
+        folder = file.rpartition("/")[0]
+        for spark, path in [w for w in _written if w[1].rpartition("/")[2] == folder.rpartition("/")[2]]:
+            _delete(spark, path)
+            _written.remove((spark, path))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _clear() -> None:
+    """Deletes what cut() wrote, if the session is still up; the cluster's own clean-up is for the rest."""
+    for spark, path in _written:
+        with contextlib.suppress(Exception):
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, path)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of batches with about CHUNK_CHARS bytes of text (one row at least), and their texts (null: empty)."""
     for batch in batches:
