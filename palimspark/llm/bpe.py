@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from palimspark.llm.common import MEMO_ENTRIES, memos, pieces, small_batches
+from palimspark.llm.common import MEMO_ENTRIES, memos, pieces
 
 END = "\x00"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -218,13 +218,14 @@ def encoder(path: str) -> Encoder:
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and with with_ids ids (array of int) and decoded, for each row.
 
-    path: the tokenizer file, at the same place on all executors. Null texts are
-    empty: no tokens, and digests of empty strings. Repeated rows give repeated
-    rows, an empty table an empty one; other columns of docs aren't looked at.
+    path: the tokenizer file, at the same place on all executors. Ids may be of
+    any type. Null texts are empty: no tokens, and digests of empty strings.
+    Texts are encoded whole, however long, words of any length in time linear in
+    it. There are no ties: a text has one encoding. Repeated rows give repeated
+    rows, an empty table an empty one; other columns of docs, whatever their names, aren't looked at.
     """
     from pyspark.sql import functions as F
 
-    small_batches(docs.sparkSession)
     x = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     extra = ", ids array<int>, decoded string" if with_ids else ""
 

@@ -101,18 +101,21 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], alpha: float = 1.0, bet
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, max_rows: int, id_col: str, text_col: str) -> DataFrame:
-    """h, text, y of at most max_rows labelled rows, by hash of id, none of them held out."""
-    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~held_out("id", modulus, remainder))
-    # a row of a table of labels is a few bytes; the sample is bounded
-    known = known.groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(max_rows)
-    x = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # an id that many rows have counts once, with its least text
+    """h, id, text, y of at most max_rows labelled rows of docs, by hash of id, none of them held out.
+
+    Ids are compared as text. Labels of ids that docs doesn't have don't count;
+    of labels that differ for one id the greatest does, and of an id's texts the least.
+    """
+    known = labels.select(F.col("doc_id").cast("string").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~held_out("id", modulus, remainder))
+    known = known.groupBy("id").agg(F.max("y").alias("y"))
+    x = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+    known = known.join(x.select("id"), "id", "left_semi").withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(max_rows)
+    # max_rows rows of a few bytes
     return x.join(F.broadcast(known), "id").groupBy("h", "id", "y").agg(F.min("text").alias("text")).select("h", "id", "text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, remainder: int = 1, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
-    """Learns from labels of rows that aren't held out. Without labels every score is 0.5."""
-    small_batches(docs.sparkSession)
+    """Learns from labels of rows of docs that aren't held out (see labelled()). Without labels every score is 0.5."""
     some = labelled(docs, labels, label, modulus, remainder, max_rows, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,18 +131,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out_f, pa.binary()), pa.array(out_v, pa.binary()), batch.column(3)], ["h", "id", "f", "v", "y"])
 
     # at most max_rows sparse vectors come to the driver
-    rows = some.mapInArrow(run, "h long, id long, f binary, v binary, y int").toLocalIterator(prefetchPartitions=False)
-    got = sorted(((r.h, r.id, bytes(r.f), bytes(r.v), r.y) for r in rows))
+    with small_batches(docs.sparkSession):
+        rows = some.mapInArrow(run, "h long, id string, f binary, v binary, y int").toLocalIterator(prefetchPartitions=False)
+        got = sorted(((r.h, r.id, bytes(r.f), bytes(r.v), r.y) for r in rows))
     return ftrl([(np.concatenate([[_BIAS], np.frombuffer(f, np.int32)]), np.concatenate([[1.0], np.frombuffer(v, np.float32)]), y) for _, _, f, v, y in got])
 
 
 def score(docs: DataFrame, scorer: Scorer, modulus: int = 3, remainder: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted for each row.
+    """doc_id, held_out, score, predicted for each row; ids may be of any type.
 
-    Null and empty texts get the score of the bias alone. A null id isn't held
-    out. Repeated rows give repeated rows, an empty table an empty one; other columns aren't looked at.
+    Null and empty texts get the score of the bias alone. Texts are scored whole,
+    however long: a token of any length is hashed whole, and a text has no more
+    features than tokens. A null id isn't held out. Repeated rows give repeated
+    rows (rows of equal texts equal scores), an empty table an empty one; other
+    columns, whatever their names, aren't looked at.
     """
-    small_batches(docs.sparkSession)
     x = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col, modulus, remainder).alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

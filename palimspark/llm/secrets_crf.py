@@ -39,6 +39,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[\w+/.-]+|[^\w\s+/.-]+")
 SAMPLE_DOCS = 10_000
 MAX_WINDOWS = 6_000
+#: Secrets of one document that give windows; where it has more, drawn at random by the hash of the text.
+SECRETS = 4
 SIDE = 8
 LENGTH = 2 * SIDE + 1
 WORDS = 1 << 14
@@ -74,9 +76,9 @@ def feature(token: str) -> int:
     """1.. of a token; 0 is padding."""
     core = token.strip("._-/+")
     if not core or not (core[0].isalnum() or core[0] == "_"):
-        return 1 + WORDS + SHAPES + (zlib.crc32(token[:4].encode("utf-8", "replace")) & (MARKS - 1))
+        return 1 + WORDS + SHAPES + (zlib.crc32(token.encode("utf-8", "replace")) & (MARKS - 1))
     if core.isalpha() and (core[1:].islower() or core.isupper() or len(core) == 1):
-        return 1 + (zlib.crc32(core[:64].lower().encode("utf-8", "replace")) & (WORDS - 1))
+        return 1 + (zlib.crc32(core.lower().encode("utf-8", "replace")) & (WORDS - 1))
     n = len(core)
     bucket = 0 if n < 4 else 1 if n < 6 else 2 if n < 8 else 3 if n < 12 else 4 if n < 16 else 5 if n < 20 else 6 if n < 32 else 7
     lower, upper = any("a" <= c <= "z" for c in core), any("A" <= c <= "Z" for c in core)
@@ -133,7 +135,7 @@ def _windows(text: str, seed: int) -> list[tuple[list[int], list[int], int]]:
         pick = range(lo, lo + LENGTH)
         return ([f[i] if 0 <= i < len(f) else 0 for i in pick], [y[i] if 0 <= i < len(f) else O for i in pick], whole)
 
-    out = [window(ids, tags, c) for c in centres[:4]]
+    out = [window(ids, tags, c) for c in (centres if len(centres) <= SECRETS else rng.sample(centres, SECRETS))]
     c = rng.randrange(len(ids))
     out.append(window(ids, tags, c))
     put, marks = _made_up(rng)
@@ -244,11 +246,16 @@ def train(x: np.ndarray, y: np.ndarray, files: np.ndarray, epochs: int = 60, rat
     return Model(own, prev, prev2, nxt, file, trans)
 
 
+def sampled(texts: DataFrame, rows: int, size: int) -> DataFrame:
+    """About size distinct texts of rows by a 64-bit hash: all where there are fewer, some however many there are."""
+    h, share = F.xxhash64("text"), min(1.0, size / max(rows, 1))
+    part = texts if share >= 1 else texts.where(h < F.lit(int(-(2**63) + share * 2**64)))
+    return part.groupBy(h.alias("h")).agg(F.min("text").alias("text")).select("text")
+
+
 def fit(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model:
     texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
-    rows = texts.count()
-    share = min(1.0, sample_docs / max(rows, 1))
-    texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    texts = sampled(texts, texts.count(), sample_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, part in pieces(batches):
@@ -261,7 +268,8 @@ def fit(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS)
 
     found = texts.mapInArrow(run, "h long, x array<int>, y array<int>, file int").distinct()
     # at most MAX_WINDOWS rows of fixed size come to the driver
-    rows = found.orderBy("h", "x", "y").limit(MAX_WINDOWS).collect()
+    with small_batches(docs.sparkSession):
+        rows = found.orderBy("h", "x", "y").limit(MAX_WINDOWS).collect()
     x = np.array([r.x for r in rows], dtype=np.int64).reshape(-1, LENGTH)
     y = np.array([r.y for r in rows], dtype=np.int64).reshape(-1, LENGTH)
     return train(x, y, np.array([r.file for r in rows], dtype=np.int64))
@@ -328,12 +336,15 @@ def joined(spans: list[tuple[int, str, int]]) -> str:
 
 
 def find(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row.
-
-    Null texts are empty and hold nothing. Repeated rows give repeated rows, an empty table an empty
-    one; other columns aren't looked at. A model is fitted where none is given.
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row; ids may be of any type.
+
+    Null texts are empty and hold nothing. Texts are searched whole, however long,
+    and tokens hashed whole. Base spans of different kinds may overlap and all
+    stay, by start, then kind as listed; a span of the field that touches a base
+    span goes. Of taggings that tie, the one with outside before begin before
+    inside wins. Repeated rows give repeated rows, an empty table an empty one;
+    other columns, whatever their names, aren't looked at. A model is fitted where none is given.
     """
-    small_batches(docs.sparkSession)
     model = model or fit(docs, text_col)
     x = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -356,7 +367,6 @@ def find(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
 
 def redact(docs: DataFrame, model: Model | None = None, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every found secret replaced by mark; all columns and rows stay, null texts too."""
-    small_batches(docs.sparkSession)
     model = model or fit(docs, text_col)
     place = docs.columns.index(text_col)
 

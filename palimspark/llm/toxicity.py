@@ -61,7 +61,8 @@ def char_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["g", "n"])
 
-    got = x.mapInArrow(run, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()
+    with small_batches(docs.sparkSession):
+        got = x.mapInArrow(run, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(27**3, np.int64)
     out[got.column("g").to_numpy()] = got.column("n").to_numpy()
     return out
@@ -231,12 +232,13 @@ class Restorer(dict):
 class Scorer:
     """The channel and the sparse weights of restored words."""
 
-    def __init__(self, counts: np.ndarray, weights: np.ndarray, bias: float):
-        self.counts, self.weights, self.bias = counts, weights.astype(np.float32), bias
+    def __init__(self, counts: np.ndarray, weights: np.ndarray, bias: float, learned: bool = True):
+        """learned: whether documents of both classes were seen."""
+        self.counts, self.weights, self.bias, self.learned = counts, weights.astype(np.float32), bias, learned
         self._restorer: Restorer | None = None
 
     def __getstate__(self):
-        return {"counts": self.counts, "weights": self.weights, "bias": self.bias, "_restorer": None}
+        return self.__dict__ | {"_restorer": None}
 
     def forget(self) -> None:
         """Lets the memo go; a worker keeps its last task's function."""
@@ -254,8 +256,7 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, remainder: int = 0, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
-    """Learns from labels of rows that aren't held out. Without labels every score is 0.5."""
-    small_batches(docs.sparkSession)
+    """Learns from labels of rows of docs that aren't held out (see quality.labelled()). Without labels every score is 0.5."""
     counts = char_counts(docs, text_col)
     some = labelled(docs, labels, label, modulus, remainder, max_rows, id_col, text_col)
 
@@ -266,8 +267,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(f, pa.binary()), batch.column(3)], ["h", "id", "f", "y"])
 
     # at most max_rows sets of features come to the driver
-    rows = some.mapInArrow(run, "h long, id long, f binary, y int").toLocalIterator(prefetchPartitions=False)
-    got = sorted((r.h, r.id, bytes(r.f), r.y) for r in rows)
+    with small_batches(docs.sparkSession):
+        rows = some.mapInArrow(run, "h long, id string, f binary, y int").toLocalIterator(prefetchPartitions=False)
+        got = sorted((r.h, r.id, bytes(r.f), r.y) for r in rows)
     return learn([(np.frombuffer(f, np.int32), y) for _, _, f, y in got], counts)
 
 
@@ -283,7 +285,8 @@ def learn(rows: list[tuple[np.ndarray, int]], counts: np.ndarray) -> Scorer:
     s = ftrl(data, alpha=1.0, l1=4.0, l2=0.01, passes=4)
     w = s.weights[:DIM]
     z = np.array([s.bias + w[f[1:]].sum() for f, _, _ in data])
-    return Scorer(counts, w, s.bias - _middle(z, np.array([y for _, _, y in data])))
+    y = np.array([y for _, _, y in data])
+    return Scorer(counts, w, s.bias - _middle(z, y), len(set(y.tolist())) == 2)
 
 
 def _middle(z: np.ndarray, y: np.ndarray) -> float:
@@ -301,12 +304,14 @@ def _middle(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def score(docs: DataFrame, scorer: Scorer, modulus: int = 5, remainder: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted for each row.
+    """doc_id, held_out, score, predicted for each row; ids may be of any type.
 
-    Null and empty texts get the score of the bias alone. A null id isn't held
-    out. Repeated rows give repeated rows, an empty table an empty one; other columns aren't looked at.
+    Null and empty texts get the score of the bias alone. Texts are scored whole,
+    however long: a token of any length is restored whole, in time linear in it.
+    Of paths through a lattice that tie, the first found is taken. A null id isn't
+    held out. Repeated rows give repeated rows (rows of equal texts equal scores),
+    an empty table an empty one; other columns, whatever their names, aren't looked at.
     """
-    small_batches(docs.sparkSession)
     x = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col, modulus, remainder).alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,8 +324,13 @@ def score(docs: DataFrame, scorer: Scorer, modulus: int = 5, remainder: int = 0,
 
 
 def keep_clean(docs: DataFrame, scorer: Scorer, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, with all columns, whose score is below threshold. Null texts stay if the empty text does."""
-    small_batches(docs.sparkSession)
+    """The rows of docs, with all columns, whose score is below threshold. Null texts stay if the empty text does.
+
+    A scorer that hasn't seen both toxic and other documents can't tell them
+    apart: all rows stay.
+    """
+    if not scorer.learned:
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, text_col):
