@@ -29,7 +29,7 @@ BATCH_ROWS = 1_000
 memos: list[dict] = []
 
 _own_dirs: list[str] = []
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,21 +83,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
     The folder goes when the session ends, as a result that was returned lazily may still read it.
     """
+    return cut_at(df, name)[0]
+
+
+def cut_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """cut(), and the folder, for delete() once nothing reads it any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
         df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    return spark.read.schema(df.schema).parquet(path), path
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes the tables of cut() that df reads itself; for those that no result reads."""
-    for file in df.inputFiles()[:1]:
-        folder = file.rpartition("/")[0]
-        for spark, path in [w for w in _written if w[1].rpartition("/")[2] == folder.rpartition("/")[2]]:
-            _delete(spark, path)
-            _written.remove((spark, path))
+def delete(path: str) -> None:
+    """Deletes a folder of cut_at()."""
+    _delete(_written.pop(path), path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -108,7 +109,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 @atexit.register
 def _clear() -> None:
     """Deletes what cut() wrote, if the session is still up; the cluster's own clean-up is for the rest."""
-    for spark, path in _written:
+    for path, spark in _written.items():
         with contextlib.suppress(Exception):
             if spark.sparkContext._jsc is not None:
                 _delete(spark, path)

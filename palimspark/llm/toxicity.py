@@ -233,7 +233,7 @@ class Scorer:
     """The channel and the sparse weights of restored words."""
 
     def __init__(self, counts: np.ndarray, weights: np.ndarray, bias: float, learned: bool = True):
-        """learned: whether documents of both classes were seen."""
+        """learned: whether documents of both classes were seen, and something told them apart."""
         self.counts, self.weights, self.bias, self.learned = counts, weights.astype(np.float32), bias, learned
         self._restorer: Restorer | None = None
 
@@ -286,11 +286,11 @@ def learn(rows: list[tuple[np.ndarray, int]], counts: np.ndarray) -> Scorer:
     w = s.weights[:DIM]
     z = np.array([s.bias + w[f[1:]].sum() for f, _, _ in data])
     y = np.array([y for _, _, y in data])
-    return Scorer(counts, w, s.bias - _middle(z, y), len(set(y.tolist())) == 2)
+    return Scorer(counts, w, s.bias - _middle(z, y), len(set(y.tolist())) == 2 and bool(np.any(w)))
 
 
 def _middle(z: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the thresholds on z with the fewest errors on the learning rows; 0 where there is one class only."""
+    """The middle of the thresholds on z with the fewest errors on the learning rows (ties: the one that finds fewer toxic); 0 where there is one class only."""
     if not len(y) or y.min() == y.max():
         return 0.0
     order = np.argsort(z, kind="stable")
@@ -299,7 +299,7 @@ def _middle(z: np.ndarray, y: np.ndarray) -> float:
     errors[1:-1][z[1:] == z[:-1]] = len(y) + 1  # no threshold between equals
     best = np.flatnonzero(errors == errors.min())
     edges = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
-    widest = max(best, key=lambda i: edges[i + 1] - edges[i])
+    widest = max(best, key=lambda i: (edges[i + 1] - edges[i], i))
     return float((edges[widest] + edges[widest + 1]) / 2)
 
 

@@ -75,3 +75,41 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     assert corpus_pipeline.run(spark, d).collect() == []
     assert minhash.PERCENT == 75
+
+
+def small(spark, folder, rows, labels=(), extra=""):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long" + extra).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_one_id_with_two_texts_and_no_labels(spark, tmp_path):
+    """No text is lost: without labels all documents stay, and of the copies of a text one."""
+    x, y, z = (" ".join(f"{w}{i}" for i in range(30)) for w in "xyz")
+    rows = [(1, x, "en", "s", 1), (2, x, "en", "s", 1), (2, y, "en", "s", 1), (3, z, "en", "s", 1)]
+    docs = small(spark, str(tmp_path), rows)
+    assert corpus_pipeline.toxic_out(spark, docs, str(tmp_path)).count() == 4
+    got = corpus_pipeline.near_duplicates_out(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, x), (2, y), (3, z)]
+    taken = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert taken == {1, 2, 3}
+
+
+def test_rows_of_all_kinds_in_every_stage(spark, tmp_path):
+    """Copies without an id, a map and an array among the columns, clashing names, a very long text."""
+    long = "w" * 300_000 + " token=abcdef123456 " + "v " * 50_000
+    extra = ", row map<string,int>, score array<double>, size string, key string, block int, copies int"
+    own = ({"a": 1}, [1.0], "big", "k", 3, 4)
+    rows = [(None, "one two three four", "en", "s", 1, *own)] * 3 + [(7, "one two three four", "en", None, 1, *own), (8, long, None, "t", 1, *own), (9, None, "en", "t", 0, *[None] * 6), (10, "", "en", "t", 0, *own)]
+    docs = small(spark, str(tmp_path), rows, [(7, 1, 0), (8, 1, 1)], extra)
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        if i < 4:
+            assert out.schema.simpleString() == docs.schema.simpleString()
+        out.write.parquet(f"{tmp_path}/s{i}")
+        docs = spark.read.parquet(f"{tmp_path}/s{i}")
+        if i == 1:
+            assert sorted((r.doc_id, r.text) for r in docs.where("text != ''").collect()) == [(7, "one two three four"), (8, long)] and docs.count() == 4
+        if i == 2:
+            assert docs.where("text like '%[SECRET]%'").count() == 1
+    assert docs.where("doc_id = 8").count() >= 1

@@ -41,7 +41,7 @@ def test_the_rules_of_the_query(spark):
     check(spark, urlfilter.RULES)
 
 
-def test_many_nested_rules_by_sweep_and_by_suffix(spark):
+def test_many_nested_rules_broadcast_and_as_a_table(spark):
     rng = random.Random(9)
     parts = ["www", "blog", "example", "a", "com", "net", "org", "es"]
     rules = tuple({(".".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))), rng.choice(["/", "", "/en/", "/es/", "/fr/"])): None for _ in range(150)})
@@ -62,3 +62,17 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert urlfilter.filter_urls(spark.createDataFrame(rows, SCHEMA)).count() == 3
     assert urlfilter.filter_urls(spark.createDataFrame([], SCHEMA)).collect() == []
     assert urlfilter.filter_urls(spark.createDataFrame(rows, SCHEMA), ()).first().verdict == "allow"
+
+
+def test_more_rules_than_are_broadcast(spark):
+    """50,001 nested rules go through the sorted stream."""
+    rng = random.Random(6)
+    parts = ["www", "blog", "example", "a", "com", "net", "org", "es"]
+    rules = {("com", "/en/x" + "y" * i): "block" for i in range(40)} | {(f"h{i}.{rng.choice(parts)}.{rng.choice(parts)}", f"/{i % 7}"): "allow" for i in range(50_001)}
+    rules |= {(".".join(rng.choice(parts) for _ in range(rng.randrange(1, 5))), rng.choice(["/", "", "/en/", "/es/"])): rng.choice(["allow", "block"]) for _ in range(300)}
+    rules = [(a, h, p) for (h, p), a in rules.items()]
+    table_of = spark.createDataFrame(rules, "action string, host string, path string")
+    some = urls(300) + [f"http://x.h{i}.com.net/{i % 7}z" for i in range(0, 3000, 10)]
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.filter_urls(table(spark, some), table_of).collect()}
+    small = [r for r in rules if not r[1].startswith("h")] + [r for r in rules if r[1].startswith("h") and int(r[1][1:].split(".")[0]) < 3000]
+    assert got == {i: by_hand(u, small) for i, u in enumerate(some)}
