@@ -1,9 +1,18 @@
 """A training corpus from documents: clean, deduplicate, redact, mix, tokenise.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs, and returns a
-DataFrame; all but the last return the columns that docs has. Between stages,
-run() writes Parquet into the shared folder and reads it again. Null, empty and
-repeated rows are treated as the operators' docstrings say.
+DataFrame; all but the last return the columns that docs has, whatever their
+types. Between stages, run() writes Parquet into the shared folder and reads it
+again. Null, empty, very long and repeated texts are treated as the operators'
+docstrings say; no stage but the first two takes rows out, and those only for
+what they find in the text:
+
+- a toxic text goes, unless no label tells toxic texts from others, when all stay;
+- of rows whose texts are near duplicates one stays, the one with the least id
+  (rows without one last), then the least text. An id that has two different texts keeps both.
+
+Columns of docs may have any names that the operators use themselves; names that begin with
+"_row" or "_copies" are taken.
 """
 
 from __future__ import annotations
@@ -17,34 +26,24 @@ from palimspark.llm.queries import tokenizer_path
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go. The scorer learns from labels of rows that aren't held out."""
+    """Documents that score as toxic go. The scorer learns from labels of rows that aren't held out; where these don't tell, all stay."""
     scorer = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs, scorer)
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the least id stays; of rows with the same id in a group, one.
-
-    Rows without an id stay.
-    """
-    verdicts = minhash.near_duplicates(docs)
-    gone = verdicts.where("not kept").select("doc_id").distinct()
-    return once(docs.join(gone, "doc_id", "left_anti").select(docs.columns))
-
-
-def once(docs: DataFrame) -> DataFrame:
-    """One row of each id: the least by text, then by the other columns. Rows without an id stay.
-
-    Only ids that repeat are shuffled with their texts.
-    """
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = cut(again, "repeated")
+    """Of each group of near-duplicate rows, one stays: that with the least id, nulls last, then the least text."""
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1 or doc_id is null")
     if again.isEmpty():
-        return docs
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    least = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("r"))
-    least = least.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in docs.columns])
-    return docs.join(again, "doc_id", "left_anti").select(docs.columns).union(least)
+        gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # rows get ids of their own, in the order of theirs
+    first = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last(), F.monotonically_increasing_id()]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.repartitionByRange(parts, *first).sortWithinPartitions(*first[:2])
+    rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    gone = minhash.near_duplicates(rows, id_col="_row").where("not kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +59,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     whole = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row"))
     taken = mixing.mix(whole, carry=("row",)).where("copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copies")).select("row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
