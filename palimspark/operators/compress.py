@@ -14,21 +14,21 @@ from palimspark.operators import delta, layout, solvers
 from palimspark.plans.stage import staged
 
 
-def compress(revisions: DataFrame, time_budget: int | None = None, strategy: str = "auto", solver: str = "heuristic", eps: float = solvers.EPS, max_states: int = solvers.MAX_STATES, value_model: str = "edit_size") -> DataFrame:
-    """Runs the layout at once; what comes back is lazy.
+def compress(revisions: DataFrame, time_budget: int | None = None, strategy: str = "auto", solver: str = "heuristic", eps: float = solvers.EPS, max_states: int = solvers.MAX_STATES, value_model: str = "edit_size", only: Column | None = None) -> DataFrame:
+    """Runs the layout at once; what comes back is lazy, and of the revisions that only holds for (of page_id, idx, revid, ts), if given: no other deltas are made.
 
     revisions plus part_id, is_anchor, base_text (anchors), patch (the others); text is dropped.
     revisions are read three times: give a stored or staged table.
     """
     sizes = staged(revisions.select("page_id", "idx", "size"), "sizes")
     chosen = staged(layout.choose(sizes, time_budget, strategy, solver, eps, max_states, value_model), "chosen")
-    return as_deltas(revisions, staged(layout.partition(sizes, chosen), "parts"))
+    return as_deltas(revisions, staged(layout.partition(sizes, chosen), "parts"), only)
 
 
-def as_deltas(revisions: DataFrame, parts: DataFrame) -> DataFrame:
+def as_deltas(revisions: DataFrame, parts: DataFrame, only: Column | None = None) -> DataFrame:
     """The long form of any partitioned layout (page_id, idx, is_anchor, part_id) of revisions."""
     flags = parts.select("page_id", "idx", "is_anchor", "part_id")
-    x = delta.with_delta(revisions, delta.predecessors(parts)).join(flags, ["page_id", "idx"])
+    x = delta.with_delta(revisions, delta.predecessors(parts), only=only).join(flags, ["page_id", "idx"])
     return x.withColumn("base_text", F.when(F.col("is_anchor"), F.coalesce("text", F.lit("")))).drop("text")
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import itertools
 import json
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,14 +25,38 @@ def restored(patch: Column) -> Column:
 
 
 def char_delta(before: str, after: str) -> str:
-    """JSON list: a number keeps so many characters, a negative one skips them, a string is put in."""
+    """JSON list: a number keeps so many characters, a negative one skips them, a string is put in.
+
+    Lines are compared first, then the characters of lines that changed, without
+    what both sides begin and end with.
+    """
+    lines = before.splitlines(keepends=True), after.splitlines(keepends=True)
+    starts = [[0, *itertools.accumulate(map(len, side))] for side in lines]
     out: list = []
-    for tag, a, b, c, d in difflib.SequenceMatcher(None, before, after, autojunk=False).get_opcodes():
+    for tag, i, j, k, m in difflib.SequenceMatcher(None, *lines, autojunk=False).get_opcodes():
+        a, b, c, d = starts[0][i], starts[0][j], starts[1][k], starts[1][m]
+        out += [b - a] if tag == "equal" else _char_steps(before[a:b], after[c:d])
+    joined: list = []
+    for step in out:
+        same = joined and isinstance(step, int) and isinstance(joined[-1], int) and (step > 0) == (joined[-1] > 0)
+        if same:
+            joined[-1] += step
+        else:
+            joined.append(step)
+    return json.dumps(joined, ensure_ascii=False)
+
+
+def _char_steps(before: str, after: str) -> list:
+    head = len(os.path.commonprefix([before, after]))
+    tail = len(os.path.commonprefix([before[head:][::-1], after[head:][::-1]]))
+    x, y = before[head : len(before) - tail], after[head : len(after) - tail]
+    out = [head] if head else []
+    for tag, a, b, c, d in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes() if x and y else [("replace", 0, len(x), 0, len(y))]:
         if tag == "equal":
             out.append(b - a)
         else:
-            out += ([a - b] if b > a else []) + ([after[c:d]] if d > c else [])
-    return json.dumps(out, ensure_ascii=False)
+            out += ([a - b] if b > a else []) + ([y[c:d]] if d > c else [])
+    return out + ([tail] if tail else [])
 
 
 def apply_chars(before: str, delta: str) -> str:
@@ -67,8 +93,8 @@ def word_delta(before: str, after: str) -> str:
 METHODS = {"lines": (line_delta, "array<string>"), "chars": (char_delta, "string"), "words": (word_delta, "string")}
 
 
-def with_delta(revisions: DataFrame, base: DataFrame | None = None, method: str = "lines", name: str = "patch") -> DataFrame:
-    """Adds the delta of each revision against its base text (null for revisions without one).
+def with_delta(revisions: DataFrame, base: DataFrame | None = None, method: str = "lines", name: str = "patch", only: Column | None = None) -> DataFrame:
+    """Adds the delta of each revision (of those that only holds for) against its base text (null for revisions without one).
 
     base: page_id, idx, base_idx rows; by default the predecessor of every revision.
     The texts meet in an equi-join on (page_id, idx), so a page isn't one task.
@@ -77,7 +103,9 @@ def with_delta(revisions: DataFrame, base: DataFrame | None = None, method: str
     if base is None:
         base = revisions.where("idx > 0").select("page_id", "idx", (F.col("idx") - 1).alias("base_idx"))
     texts = revisions.select(F.col("page_id"), F.col("idx").alias("base_idx"), F.col("text").alias("_before"))
-    x = revisions.join(base.join(texts, ["page_id", "base_idx"]).drop("base_idx"), ["page_id", "idx"], "left")
+    own = revisions if only is None else revisions.where(only)
+    base = base if only is None else base.join(own.select("page_id", "idx"), ["page_id", "idx"], "left_semi")
+    x = own.join(base.join(texts, ["page_id", "base_idx"]).drop("base_idx"), ["page_id", "idx"], "left")
     before, after = x.columns.index("_before"), x.columns.index("text")
     arrow = pa.list_(pa.string()) if kind.startswith("array") else pa.string()
 

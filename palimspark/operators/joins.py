@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Ranges are one row per dump file; up to this many they are broadcast, beyond they are joined by grid cell.
-MOST_RANGES = 100_000
-CELL = 1_000_000
+#: Width of the grid cells by which ids meet ranges.
+CELL = 100_000
+#: Names that are searched for in one pass over the lines.
+NAMES_PER_PASS = 20_000
 
 
 def covering(ids: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Every (id, range) with lo <= id <= hi; ids: page_id; ranges: lo, hi and anything else."""
-    if ranges.limit(MOST_RANGES + 1).count() <= MOST_RANGES:
-        return ids.join(F.broadcast(ranges), F.col("page_id").between(F.col("lo"), F.col("hi")))
+    """Every (id, range) with lo <= id <= hi; ids: page_id; ranges: lo, hi and anything else.
+
+    An equi-join on the cells that a range meets, whatever their number; Spark
+    broadcasts ranges by their size.
+    """
     cells = ranges.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("lo") / CELL), F.floor(F.col("hi") / CELL))))
     x = ids.withColumn("_cell", F.floor(F.col("page_id") / CELL))
     return x.join(cells, "_cell").where(F.col("page_id").between(F.col("lo"), F.col("hi"))).drop("_cell")
@@ -50,11 +56,35 @@ def skipped(wanted: DataFrame, done: DataFrame, key: str = "page_id") -> DataFra
     return wanted.join(done.select(key).distinct(), key, "left_semi").withColumn("skipped", F.lit(True))
 
 
-def named_in(names: DataFrame, lines: DataFrame, name: str, line: str, most: int = MOST_RANGES) -> DataFrame:
-    """Lines that hold a name anywhere; names come from a list of bounded length."""
-    if names.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} names")
-    return lines.join(F.broadcast(names), F.col(line).contains(F.col(name)))
+def named_in(names: DataFrame, lines: DataFrame, name: str, line: str, at_once: int = NAMES_PER_PASS) -> DataFrame:
+    """Lines joined with each row of names whose name they hold anywhere; null names and lines hold nothing.
+
+    Names go in blocks of about at_once by hash, a pass over the lines for each:
+    a line is searched once for all names of the block, by the names' lengths and
+    a set, and the names found are joined back by equality.
+    """
+    every = names.select(F.col(name).alias("_name")).where("_name is not null").distinct()
+    passes = max(1, -(-every.count() // at_once))
+    spark = lines.sparkSession
+    found = None
+    for i in range(passes):
+        some = every.where(F.pmod(F.xxhash64("_name"), F.lit(passes)) == i)
+        table = spark.sparkContext.broadcast(frozenset(r._name for r in some.toLocalIterator()))
+
+        def search(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
+            sizes = sorted({len(n) for n in table.value})
+            for b in batches:
+                out: list[list[str]] = []
+                for text in b.column(b.num_columns - 1).to_pylist():
+                    held = set() if text is None else {text[at : at + n] for n in sizes for at in range(len(text) - n + 1)}
+                    out.append(sorted(held & table.value))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.list_(pa.string()))], [*b.schema.names[:-1], "_names"])
+
+        x = lines.withColumn("_text", F.col(line).cast("string"))
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema if f.name != "_text")
+        part = x.mapInArrow(search, f"{fields}, _names array<string>").select("*", F.explode("_names").alias("_name")).drop("_names")
+        found = part if found is None else found.union(part)
+    return found.join(names.withColumn("_name", F.col(name)), "_name").drop("_name")
 
 
 def append_rows(*tables: DataFrame) -> DataFrame:

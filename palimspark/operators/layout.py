@@ -7,8 +7,10 @@ joined back where they are needed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,7 @@ def choose(
 
     Pages whose candidates all fit into the budget take them all, in SQL. Only the
     numbers of the other pages' candidates go to the solver, a page at a time.
+    Page ids are integers; rows without one have no choice.
     """
     items = candidates(revisions, value_model).select("page_id", "idx", "value", "weight")
     n = revisions.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
@@ -52,15 +55,41 @@ def choose(
     x = items.join(pages.select("page_id", "budget", "total"), "page_id")
     easy = x.where("total <= budget").select("page_id", "idx")
 
-    def solve(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("idx")
-        v, w, cap = page["value"].tolist(), page["weight"].tolist(), int(page["budget"].iloc[0])
-        got = solvers.exact(v, w, cap) if solver == "exact" else solvers.heuristic(v, w, cap, strategy, eps, max_states)
-        return page.iloc[sorted(got)][["page_id", "idx"]]
-
-    # to take all is best where all fit, whatever the solver
-    hard = x.where("total > budget").groupBy("page_id").applyInPandas(solve, "page_id long, idx int")
-    return easy.union(hard)
+    def solve(table: pa.Table) -> pa.Table:
+        """Of whole pages: the rows that are taken."""
+        pages = table.column(0).to_numpy()
+        v, w, budgets = (table.column(i).to_pylist() for i in (2, 3, 4))
+        cuts = [0, *(np.flatnonzero(np.diff(pages)) + 1).tolist(), len(pages)]
+        taken = []
+        for a, b in zip(cuts, cuts[1:]):
+            if solver == "exact":
+                got = solvers.exact(v[a:b], w[a:b], budgets[a])
+            else:
+                got = solvers.heuristic(v[a:b], w[a:b], budgets[a], strategy, eps, max_states)
+            taken += [a + i for i in sorted(got)]
+        return table.select([0, 1]).take(pa.array(taken, pa.int64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the last page of a batch may go on in the next
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pages = batch.column(0).to_numpy()
+            last = int(np.searchsorted(pages, pages[-1]))
+            if last or kept and kept[-1].column(0)[-1].as_py() != pages[0]:
+                whole = [*kept, *([batch.slice(0, last)] if last else [])]
+                kept = []
+                yield from solve(pa.Table.from_batches(whole)).to_batches()
+            kept.append(batch.slice(last))
+        if kept:
+            yield from solve(pa.Table.from_batches(kept)).to_batches()
+
+    # to take all is best where all fit, whatever the solver; many pages a task, in a stream of whole pages
+    parts = int(revisions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hard = x.where("total > budget").select(F.col("page_id").cast("long").alias("page_id"), F.col("idx").cast("int").alias("idx"), "value", "weight", "budget")
+    hard = hard.repartition(parts, "page_id").sortWithinPartitions("page_id", "idx")
+    return easy.union(hard.mapInArrow(run, "page_id long, idx int"))
 
 
 def partition(revisions: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -15,11 +15,15 @@ def _texts(compressed: DataFrame) -> DataFrame:
     return compressed.withColumn("text", text_of())
 
 
+def in_range(start: int, length: int) -> Column:
+    return F.col("idx").between(start, start + length)
+
+
 def by_range(compressed: DataFrame, start: int, length: int) -> DataFrame:
     """start to start + length, both ends in; beyond a page's end it stops. Pages without start give nothing."""
     if length < 0:
         raise ValueError("length must not be negative")
-    return _texts(compressed.where(F.col("idx").between(start, start + length))).select("page_id", "idx", "text")
+    return _texts(compressed.where(in_range(start, length))).select("page_id", "idx", "text")
 
 
 def checked_range(compressed: DataFrame, page_id: int, start: int, length: int) -> DataFrame:
@@ -92,6 +96,24 @@ def by_instance(compressed: DataFrame, number: int, k: int) -> DataFrame:
     return _texts(compressed.where(F.col("idx") == number - 1)).select("page_id", F.lit(number).alias("instance"), F.lit(near).alias("full_instance"), "text")
 
 
+def by_period(compressed: DataFrame, number: int, k: int) -> DataFrame:
+    """Revision by 1-based number in a k layout, with the number of its full copy."""
+    near = number - (number - 1) % k
+    return _texts(compressed.where(F.col("idx") == number - 1)).select("page_id", F.lit(number).alias("instance"), F.lit(near).alias("full_instance"), "text")
+
+
+def access(compressed: DataFrame, idx: int) -> DataFrame:
+    """page_id, idx, text of one revision by 0-based index; pages that are shorter give nothing."""
+    return by_range(compressed, idx, 0)
+
+
+def check_meta(artifacts: DataFrame, key: str) -> DataFrame:
+    """artifacts; KeyError where a meta has no such field or one of them lacks it."""
+    if key not in artifacts.schema["meta"].dataType.names or not artifacts.where(F.col(f"meta.{key}").isNull()).isEmpty():
+        raise KeyError(f"meta has no {key}")
+    return artifacts
+
+
 def random_accesses(revisions: DataFrame, n: int = 100, seed: int = 0) -> DataFrame:
     """n revisions drawn for timing; the same for the same seed."""
     return revisions.select("page_id", "idx").orderBy(F.xxhash64(F.lit(seed), "page_id", "idx")).limit(n)

@@ -28,9 +28,10 @@ def save_pages(revisions: DataFrame, out_dir: str, titles: DataFrame | None = No
     rows = compress.compress(staged(revisions.select("page_id", "idx", "revid", "ts", "text", "size"), "revisions"), **solver)
     told = {k: solver[k] for k in ("time_budget", "solver", "strategy") if k in solver}
     artifacts = compress.artifacts(rows, titles, **told)
+    artifacts = staged(artifacts, "artifacts")
     # a row per page: its id, path and error
-    done = revisions.sparkSession.createDataFrame(store.save(artifacts, out_dir).toArrow())
-    report = analytics.manifest(analytics.summarize_artifacts(store.load(revisions.sparkSession, out_dir)), source, time.time() - began)
+    done = staged(store.save(artifacts, out_dir), "written")
+    report = analytics.manifest(analytics.summarize_artifacts(artifacts), source, time.time() - began)
     return report.drop("artifact").join(done, "page_id")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from palimspark.functions import text as text_fns
 from palimspark.operators import analytics, compress, delta, joins, layout, retrieve
-from palimspark.plans.stage import staged
-from palimspark.sources import tables
+from palimspark.plans.stage import folder, staged
+from palimspark.sources import dumps, store, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -197,8 +198,8 @@ def asof_anchor(spark, sf_dir):
     return layout.anchor_of(layout.partition_all(_sizes(spark, sf_dir))).select("page_id", "idx", "anchor_idx")
 
 
-def _compressed(spark, sf_dir) -> DataFrame:
-    return compress.compress(staged(tables.conversations(spark, sf_dir), "revisions"))
+def _compressed(spark, sf_dir, only=None) -> DataFrame:
+    return compress.compress(staged(tables.conversations(spark, sf_dir), "revisions"), only=only)
 
 
 @query(f"WITH {_REV} SELECT page_id, idx, revid, text FROM rev")
@@ -235,17 +236,17 @@ def artifact_metrics(spark, sf_dir):
 
 @query(f"WITH {_REV} SELECT page_id, idx, text FROM rev WHERE idx BETWEEN 1 AND 3")
 def retrieve_range(spark, sf_dir):
-    return retrieve.by_range(_compressed(spark, sf_dir), 1, 2)
+    return retrieve.by_range(_compressed(spark, sf_dir, retrieve.in_range(1, 2)), 1, 2)
 
 
 @query(f"WITH {_REV} SELECT page_id, idx, text FROM rev WHERE idx >= 1 AND idx < 3")
 def reconstruct_range(spark, sf_dir):
-    return retrieve.half_open(_compressed(spark, sf_dir), 1, 2)
+    return retrieve.half_open(_compressed(spark, sf_dir, retrieve.in_range(1, 1)), 1, 2)
 
 
 @query(f"WITH {_REV} SELECT pos::INT AS pos, page_id, idx, text FROM rev JOIN (VALUES (0, 2), (1, 0), (2, 2), (3, 1)) r(pos, want) ON idx = want")
 def retrieve_indices(spark, sf_dir):
-    return retrieve.by_indices(_compressed(spark, sf_dir), [2, 0, 2, 1])
+    return retrieve.by_indices(_compressed(spark, sf_dir, F.col("idx").isin(0, 1, 2)), [2, 0, 2, 1])
 
 
 _ASK = [3001, 1000, 999999999, 3001, 5002, 12000]
@@ -253,7 +254,7 @@ _ASK = [3001, 1000, 999999999, 3001, 5002, 12000]
 
 @query(f"WITH {_REV} SELECT pos::INT AS pos, revid, page_id, idx, text FROM rev JOIN (VALUES {', '.join(f'({i}, {r})' for i, r in enumerate(_ASK))}) a(pos, want) ON revid = want")
 def retrieve_revid(spark, sf_dir):
-    return retrieve.by_revid(_compressed(spark, sf_dir), retrieve.request(spark, _ASK))
+    return retrieve.by_revid(_compressed(spark, sf_dir, F.col("revid").isin(_ASK)), retrieve.request(spark, _ASK))
 
 
 @query(f"WITH {_REV} SELECT pos::INT AS pos, want::BIGINT AS revid FROM (VALUES {', '.join(f'({i}, {r})' for i, r in enumerate(_ASK))}) a(pos, want) WHERE want NOT IN (SELECT revid FROM rev)")
@@ -263,19 +264,56 @@ def missing_ids(spark, sf_dir):
 
 @query(f"WITH {_EV} SELECT page_id, idx, epoch_us(ts) AS ts_us, text FROM ev WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-09 23:59:59'")
 def retrieve_time(spark, sf_dir):
-    x = retrieve.by_time(compress.compress(staged(tables.events(spark, sf_dir), "revisions")), "2024-01-05", "2024-01-09")
+    when = retrieve.time_bounds("2024-01-05", "2024-01-09")
+    x = retrieve.by_time(compress.compress(staged(tables.events(spark, sf_dir), "revisions"), only=when), "2024-01-05", "2024-01-09")
     return x.select("page_id", "idx", F.unix_micros("ts").alias("ts_us"), "text")
 
 
 @query(f"WITH {_EV} SELECT page_id, idx, text FROM ev WHERE ts > TIMESTAMP '2024-01-05 06:00:00' AND ts < TIMESTAMP '2024-01-06 06:00:00'")
 def retrieve_time_exclusive(spark, sf_dir):
-    x = retrieve.by_time(compress.compress(staged(tables.events(spark, sf_dir), "revisions")), "2024-01-05T06:00Z", "2024-01-06T08:00:00+02:00", inclusive=False)
+    span = "2024-01-05T06:00Z", "2024-01-06T08:00:00+02:00", False
+    x = retrieve.by_time(compress.compress(staged(tables.events(spark, sf_dir), "revisions"), only=retrieve.time_bounds(*span)), *span)
     return x.select("page_id", "idx", "text")
 
 
+@query(f"WITH {_REV} SELECT page_id, 4 AS instance, 4 AS full_instance, text FROM rev WHERE idx = 3")
+def retrieve_period(spark, sf_dir):
+    """By number in a layout with a full copy every third revision."""
+    x = staged(tables.conversations(spark, sf_dir), "revisions")
+    rows = compress.as_deltas(x, layout.fixed_interval(x.drop("text"), 3), F.col("idx") == 3)
+    return retrieve.by_period(rows, 4, 3)
+
+
+@query(f"WITH {_REV} SELECT page_id, idx, revid, text FROM rev")
+def xml_roundtrip(spark, sf_dir):
+    """Written as several compressed export files and read again."""
+    path = f"{folder(spark)}/export-{uuid.uuid4().hex}"
+    dumps.write_xml(tables.conversations(spark, sf_dir).repartition(3, "page_id"), path)
+    return dumps.revisions(dumps.xml_pages(spark, f"{path}/*.bz2")).select("page_id", "idx", "revid", "text")
+
+
+@query(f"WITH {_REV} SELECT page_id, idx, revid, text FROM rev")
+def artifact_files_roundtrip(spark, sf_dir):
+    """One file per page, written and read again."""
+    path = f"{folder(spark)}/artifacts-{uuid.uuid4().hex}".removeprefix("file://")
+    written = staged(store.save(compress.artifacts(_compressed(spark, sf_dir)), path), "written")
+    if not written.where("error is not null").isEmpty():
+        raise OSError(written.where("error is not null").first().error)
+    return compress.decompress(compress.explode(store.load(spark, path))).select("page_id", "idx", "revid", "text")
+
+
+@query(f"WITH {_REV} SELECT page_id, idx + 1 AS id, revid, text, size FROM rev")
+def knolml_roundtrip(spark, sf_dir):
+    """Instances of one page each, written and read again."""
+    path = f"{folder(spark)}/knolml-{uuid.uuid4().hex}"
+    dumps.write_knolml(tables.conversations(spark, sf_dir), path)
+    x = dumps.knolml_accessors(dumps.knolml(spark, path))
+    return x.select(F.expr("revid div 1000").alias("page_id"), "id", "revid", "text", F.col("bytes").alias("size"))
+
+
 @query(f"WITH {_REV} SELECT page_id, 3 AS instance, 3 AS full_instance, text FROM rev WHERE idx = 2")
 def retrieve_instance(spark, sf_dir):
-    return retrieve.by_instance(_compressed(spark, sf_dir), 3, 1)
+    return retrieve.by_instance(_compressed(spark, sf_dir, F.col("idx") == 2), 3, 1)
 
 
 _RANGES = [("dump-p0p199.bz2", 0, 199), ("dump-p150p999.bz2", 150, 999), ("dump-p1500p4000.bz2", 1500, 4000), ("dump-p10p20.bz2", 10, 20)]

@@ -217,3 +217,15 @@ def write_knolml(revisions: DataFrame, path: str) -> None:
         F.struct(F.struct(F.lit("wiki").alias("_Type"), F.col("size").alias("_Bytes"), F.col("text").alias("_VALUE")).alias("Text")).alias("Body"),
     )
     x.write.mode("overwrite").format("xml").option("rowTag", "Instance").option("rootTag", "KnolML").option("attributePrefix", "_").save(path)
+
+
+def write_xml(revisions: DataFrame, path: str, codec: str = "bzip2") -> None:
+    """Revision rows as export files, a page with all its revisions in one row; several files where there are many pages."""
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    row = F.struct("idx", F.col("revid").alias("id"), stamp.alias("timestamp"), F.struct(F.octet_length("text").alias("_bytes"), F.col("text").alias("_VALUE")).alias("text"))
+    pages = revisions.groupBy("page_id").agg(F.sort_array(F.collect_list(row)).alias("r"))
+    pages = pages.select(
+        F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("title"), F.lit(0).alias("ns"), F.col("page_id").alias("id"),
+        F.transform("r", lambda x: F.struct(x["id"].alias("id"), x["timestamp"].alias("timestamp"), x["text"].alias("text"))).alias("revision"),
+    )
+    pages.write.format("xml").option("rowTag", "page").option("rootTag", "mediawiki").option("attributePrefix", "_").option("compression", codec).save(path)

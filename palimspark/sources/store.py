@@ -69,15 +69,17 @@ def write_manifest(rows: DataFrame, out: str, wrap: dict | None = None) -> None:
     A manifest has one row per page of a run and goes through the driver row by row.
     """
     columns = sorted(rows.columns or MANIFEST_LEAST)
-    items = []
-    with pathlib.Path(f"{out}.csv").open(mode="w", newline="", **UTF8) as csv_file:
+    told = lambda x: json.dumps(x, ensure_ascii=False, default=str)
+    n = 0
+    with pathlib.Path(f"{out}.csv").open(mode="w", newline="", **UTF8) as csv_file, pathlib.Path(f"{out}.json").open(mode="w", **UTF8) as json_file:
         writer = csv.DictWriter(csv_file, columns)
         writer.writeheader()
+        json_file.write("[" if wrap is None else "{" + "".join(f"{told(k)}: {told(v)},\n" for k, v in wrap.items()) + '"items": [')
         for r in rows.toLocalIterator():
-            items.append(r.asDict())
-            writer.writerow(items[-1])
-    whole = items if wrap is None else wrap | {"count": len(items), "items": items}
-    pathlib.Path(f"{out}.json").write_text(json.dumps(whole, ensure_ascii=False, indent=1, default=str), encoding="utf-8")
+            writer.writerow(r.asDict())
+            json_file.write(("," if n else "") + "\n" + told(r.asDict()))
+            n += 1
+        json_file.write("\n]" if wrap is None else f'\n], "count": {n}}}')
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

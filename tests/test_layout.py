@@ -214,7 +214,7 @@ def test_ranges(spark, monkeypatch):
         )
 
     a = all_three()
-    monkeypatch.setattr(joins, "MOST_RANGES", 1)
+    monkeypatch.setattr(joins, "CELL", 7)
     assert a == all_three()
     assert a[1] == [(1, "a"), (15, "a"), (99, "c"), (3_000_000, "c")] and (99, ()) in a[2]
 
@@ -246,3 +246,49 @@ def test_streaming_append(spark, tmp_path):
     got = sorted((r.page_id, r.revid, r.text) for r in rows.collect())
     on_time = [(p, r) for p, r, _ in got]
     assert len(on_time) == len(set(on_time)) and all(t == texts[r] for _, r, t in got)
+
+
+def test_names_in_lines_in_several_passes(spark):
+    names = spark.createDataFrame([(f"n{i}x", i) for i in range(300)] + [("water", 1), ("", 2), (None, 3), ("water", 4)], "name string, extra int")
+    lines = spark.createDataFrame([(1, "by n7x water n7x"), (2, None), (3, ""), (3, "n299x"), (3, "n299x")], "line_id int, line string")
+    got = joins.named_in(names, lines, "name", "line", at_once=50).collect()
+    want = [(i, n, e) for i, t in [(1, "by n7x water n7x"), (3, ""), (3, "n299x"), (3, "n299x")] for n, e in [*((f"n{k}x", k) for k in range(300)), ("water", 1), ("", 2), ("water", 4)] if n in t]
+    assert sorted((r.line_id, r["name"], r.extra) for r in got) == sorted(want)
+
+
+def test_character_deltas_of_long_texts():
+    rng = random.Random(4)
+    for _ in range(300):
+        a = "".join(rng.choice("ab\n") for _ in range(rng.randrange(30)))
+        b = "".join(rng.choice("ab\n") for _ in range(rng.randrange(30))) if rng.random() < 0.5 else a[: len(a) // 2] + "x" + a[len(a) // 2 :]
+        assert delta.apply_chars(a, delta.char_delta(a, b)) == b
+    long = "".join(f"line {i} of many\n" for i in range(6000))
+    changed = long.replace("line 3000 of", "row 3000 off") + "end"
+    patch = delta.char_delta(long, changed)
+    assert delta.apply_chars(long, patch) == changed and len(patch) < 100
+
+
+def test_pages_that_go_on_over_batches(spark):
+    """The choice doesn't depend on how a task's rows are batched."""
+    rng = random.Random(9)
+    x = by_sizes(spark, *[[rng.randrange(1, 400) for _ in range(rng.choice([1, 3, 40]))] for _ in range(40)])
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, got = spark.conf.get(name), []
+    for rows in ("1", "7", before):
+        spark.conf.set(name, rows)
+        got.append(sorted(map(tuple, layout.choose(x, 900, "sparse").collect())))
+    spark.conf.set(name, before)
+    assert got[0] == got[1] == got[2] and got[0]
+
+
+def test_random_access_and_meta(spark):
+    x = pages(spark, {1: [f"text {i}" for i in range(9)], 2: ["a", "b"]})
+    rows = compress.as_deltas(x, layout.fixed_interval(x.drop("text"), 4))
+    assert [(r.page_id, r.full_instance, r.text) for r in retrieve.by_period(rows, 7, 4).collect()] == [(1, 5, "text 6")]
+    assert [r.text for r in retrieve.access(rows, 8).collect()] == ["text 8"]
+    only = compress.as_deltas(x, layout.fixed_interval(x.drop("text"), 4), F.col("idx") == 6)
+    assert [r.text for r in retrieve.access(only, 6).collect()] == ["text 6"] and only.count() == 1
+    nested = compress.artifacts(rows)
+    assert retrieve.check_meta(nested, "revids").count() == 2
+    with pytest.raises(KeyError):
+        retrieve.check_meta(nested, "nothing")

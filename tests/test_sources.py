@@ -170,6 +170,20 @@ def test_a_page_in_overlapping_files_counts_once(spark, tmp_path):
     assert sorted((r.page_id, r.idx, r.revid) for r in got) == [(p, i, i + 4) for p in (5, 7) for i in range(4)]
 
 
+def test_a_page_that_cannot_be_written_is_a_row(spark, tmp_path):
+    d, out = tmp_path / "dumps", tmp_path / "out"
+    d.mkdir()
+    (out / "page_5.comp.gz" / "in the way").mkdir(parents=True)
+    revs = [_revision(i, f"2024-01-0{i}T00:00:00Z", f"<text>{'x' * i}</text>") for i in (1, 2)]
+    for name, page in (("a-p1p5.bz2", 5), ("b-p6p20.bz2", 6)):
+        (d / name).write_bytes(bz2.compress(f'<mediawiki xmlns="{SPACE}">{_page("P", 0, page, *revs)}</mediawiki>'.encode()))
+    rows = {r.page_id: r for r in sweep.sweep(spark, str(d), [5, 6], str(out), time_budget=1000, force=True).collect()}
+    assert rows[5].error and rows[6].error is None and rows[5].revisions == 2
+    store.write_manifest(spark.createDataFrame([(r.page_id, r.error) for r in rows.values()], "page_id long, error string"), str(tmp_path / "m"), {"dump": "d"})
+    told = json.loads((tmp_path / "m.json").read_text())
+    assert told["count"] == 2 and {i["page_id"] for i in told["items"]} == {5, 6}
+
+
 def test_manifest_without_rows(spark, tmp_path):
     store.write_manifest(spark.createDataFrame([], "b int, a int"), str(tmp_path / "m"), {"dump": "d"})
     assert (tmp_path / "m.csv").read_text().strip() == "a,b"
