@@ -21,18 +21,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimspark.llm import bpe, minhash, mixing, secrets_crf, toxicity
-from palimspark.llm.common import cut
+from palimspark.llm.common import BATCH_ROWS, cut
 from palimspark.llm.queries import tokenizer_path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """The pipeline's session, for good: Arrow batches of at most BATCH_ROWS rows, as whole texts are in memory on both sides of a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go. The scorer learns from labels of rows that aren't held out; where these don't tell, all stay."""
+    small_batches(spark)
     scorer = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs, scorer)
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicate rows, one stays: that with the least id, nulls last, then the least text."""
+    small_batches(spark)
     again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1 or doc_id is null")
     if again.isEmpty():
         gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
@@ -48,6 +57,7 @@ def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret's place in the text says [SECRET]; n_chars is that of the new text."""
+    small_batches(spark)
     out = secrets_crf.redact(docs)
     if "n_chars" not in docs.columns:
         return out
@@ -57,6 +67,7 @@ def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    small_batches(spark)
     whole = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row"))
     taken = mixing.mix(whole, carry=("row",)).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copies")).select("row.*")
@@ -64,6 +75,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, digests of ids and decoded text, ids."""
+    small_batches(spark)
     return bpe.encode(docs, tokenizer_path()).drop("decoded")
 
 
