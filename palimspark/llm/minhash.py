@@ -16,8 +16,10 @@
    estimates of its pairs across components are computed in blocks of sketches;
    only those that pass are sent on, to be compared on full sets. A bucket of
    more than BLOCK nodes, such as a passage that many documents share makes, is
-   cut by the nodes' other bands first: a pair at 75 % has no second band in common
-   with probability 8e-5, and two that share a passage alone rarely have one.
+   cut by prefixes of the full sets first: with the shingles of a set of n in one
+   order for all, rare ones first, two sets at 75 % have one in common among their
+   first n - ceil(0.75 n) + 1. So no such pair is lost, whatever BLOCK is, and
+   what many documents share comes last. What such a cut leaves beyond BLOCK goes on whole.
 5. Components by large-star and small-star rounds.
 
 Groups are reduced by aggregates with partial sums; what is still beyond BLOCK
@@ -51,6 +53,8 @@ BITS_PER_ID, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 30
 #: Ids that are broadcast themselves.
 FEW_IDS = 1_000_000
 CHUNK_BYTES = 1 << 20
+#: Counts by which shingles are rare or not: one for each value of so many bits of the hash.
+RARE_BITS = 18
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -302,13 +306,55 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _narrowed(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """rows (key, node, comp) with buckets of more than BLOCK nodes cut by the nodes' other bands; keys of those that are left alone stay."""
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """How often shingles of the sets occur, by the first RARE_BITS bits of their hash; as many rows come to the driver at most."""
+    shift = np.uint64(64 - RARE_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << RARE_BITS, np.int64)
+        for batch in batches:
+            found = [np.frombuffer(h.as_buffer(), np.uint64) for h in batch.column(1)]
+            if found:
+                total += np.bincount((np.concatenate(found) >> shift).astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bin", "m"])
+
+    with small_batches(sets.sparkSession):
+        got = sets.mapInArrow(run, "bin long, m long").groupBy("bin").agg(F.sum("m").alias("m")).toArrow()
+    out = np.zeros(1 << RARE_BITS, np.int64)
+    out[got.column("bin").to_numpy()] = got.column("m").to_numpy()
+    return out
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """node, shingle: the rarest shingles of each set of n, n - ceil(percent % of n) + 1 of them; two sets at percent % or more have one in common."""
+    table = sets.sparkSession.sparkContext.broadcast(_rarity(sets).tobytes())
+    shift = np.uint64(64 - RARE_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare = np.frombuffer(table.value, np.int64)
+        for batch in batches:
+            nodes, kept = [], []
+            for node, hashes in zip(batch.column(0).to_numpy(), batch.column(1)):
+                s = np.frombuffer(hashes.as_buffer(), np.uint64)
+                order = np.lexsort((s, rare[s >> shift]))[: len(s) - -(-percent * len(s) // 100) + 1]
+                nodes.append(np.full(len(order), node, np.int64))
+                kept.append(s[order].view(np.int64))
+            for i in range(0, len(nodes), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes[i : i + 64])), pa.array(np.concatenate(kept[i : i + 64]))], ["node", "shingle"])
+        tidy()
+
+    return sets.mapInArrow(run, "node long, shingle long")
+
+
+def _narrowed(rows: DataFrame, x: DataFrame, percent: int) -> DataFrame:
+    """rows (key, node, comp) with buckets of more than BLOCK nodes cut by shingles of the nodes' prefixes; all pairs at percent % or more are still in one."""
     large = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK).select("key"), "large")
     if large.isEmpty():
         return rows
-    cuts = rows.join(large, "key").join(nodes.select("node", "bands"), "node")
-    cuts = cuts.select("key", "node", "comp", F.explode("bands").alias("other")).where("other != key").select(F.xxhash64("key", "other").alias("key"), "node", "comp")
+    hot = cut(rows.join(large, "key"), "hot")
+    sets = cut(_sets_of(x, hot.select(F.col("node").alias("id")).distinct()), "sets")
+    cuts = hot.join(cut(_prefixes(sets, percent), "prefixes"), "node").select(F.xxhash64("key", "shingle").alias("key"), "node", "comp")
     mixed = cuts.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     return rows.join(large, "key", "left_anti").union(cuts.join(mixed, "key").select("key", "node", "comp"))
 
@@ -431,7 +477,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
 
     comp = members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rows = _narrowed(cut(comp.join(mixed, "key"), "mixed"), nodes)
+    rows = _narrowed(cut(comp.join(mixed, "key"), "mixed"), x, percent)
     rows = rows.join(lean, "node").select("key", "node", "comp", "n", "sig")
     more = cut(_across(rows, int(spark.conf.get("spark.sql.shuffle.partitions")), percent), "pairs")
     if not more.isEmpty():

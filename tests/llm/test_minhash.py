@@ -127,3 +127,56 @@ def test_a_passage_that_many_documents_share(spark, monkeypatch):
         rows += [(3 * i, passage + " " + own), (3 * i + 1, passage + " " + own + f" end{i}"), (3 * i + 2, " ".join(rng.choice(["q", "r", "s"]) + str(j) for j in range(20)))]
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
+
+
+def hashed(texts):
+    data = [t.encode() for t in texts]
+    return minhash.shingle_sets(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]))
+
+
+def one_band_in_common():
+    """Texts (two others, a, b): a and b are at 75 % or more and have one band in common, which the others have too, without being near anything."""
+    words = [f"w{i}" for i in range(100)]
+    a = " ".join(words)
+    (own,) = hashed([a])
+    for seed in range(20):
+        rng, texts = random.Random(seed), []
+        for k in range(2000):
+            changed = rng.sample(range(2, 98, 2), 7)
+            texts.append(" ".join(f"x{seed}y{k}z{i}" if i in changed else w for i, w in enumerate(words)))
+        keys = minhash.sketch(hashed([a, *texts]))[1]
+        found = np.flatnonzero((keys[1:] == keys[0]).sum(axis=1) == 1)
+        if len(found):
+            break
+    b, band = texts[found[0]], int(np.flatnonzero(keys[1 + found[0]] == keys[0])[0])
+    pairs = {int(s[0]): f"{p} {q}" for p, q, s in zip(words, words[1:], hashed([f"{p} {q}" for p, q in zip(words, words[1:])]))}
+    least = [pairs[int(own[np.argmin((own * minhash._A[j] + minhash._B[j]) >> np.uint64(32))])] for j in range(band * minhash.ROWS, (band + 1) * minhash.ROWS)]
+    others = [t for k in range(400) for t in ["".join(f"{p} o{k}p{i} " for i, p in enumerate(least))] if minhash.sketch(hashed([t]))[1][0, band] == keys[0, band]][:2]
+    return [*others, a, b]
+
+
+@pytest.mark.parametrize("block", [2, 2048])
+def test_a_pair_with_one_band_in_common_in_a_large_bucket(spark, monkeypatch, block):
+    """Both are compared whatever the size of their bucket; the two before them take its stars."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rows = list(enumerate(one_band_in_common()))
+    want = brute(rows)
+    assert want == {0: 0, 1: 1, 2: 2, 3: 2}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("percent", [50, 75, 100])
+def test_prefixes_of_near_sets_meet(spark, percent):
+    rng = np.random.default_rng(percent)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 2**63, rng.integers(1, 60), dtype=np.uint64)
+        sets += [np.unique(base), np.unique(np.concatenate([base[rng.integers(0, 3) :], rng.integers(0, 2**63, rng.integers(0, 20), dtype=np.uint64)]))]
+    df = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)] + [(999, b"")], "node long, hashes binary")
+    kept = defaultdict(set)
+    for r in minhash._prefixes(df, percent).collect():
+        kept[r.node].add(r.shingle)
+    near = [(i, j) for i in range(120) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j])) > 0]
+    assert len(near) > 3 and all(kept[i] & kept[j] for i, j in near)
+    assert all(len(kept[i]) == len(s) - -(-percent * len(s) // 100) + 1 for i, s in enumerate(sets) if len(s)) and not kept[999]
