@@ -3,7 +3,7 @@ import re
 
 import corpus_pipeline
 from palimspark.llm import minhash, toxicity
-from test_minhash import brute
+from test_minhash import brute, one_band_in_common
 
 
 def data(spark, folder, n=240):
@@ -113,3 +113,13 @@ def test_rows_of_all_kinds_in_every_stage(spark, tmp_path):
         if i == 2:
             assert docs.where("text like '%[SECRET]%'").count() == 1
     assert docs.where("doc_id = 8").count() >= 1
+
+
+def test_near_copies_in_a_large_bucket(spark, tmp_path, monkeypatch):
+    """The stage finds near copies that only a bucket of more than BLOCK rows holds, with ids and without."""
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    texts = one_band_in_common()
+    for i, ids in enumerate([(0, 1, 2, 3), (0, 1, 2, None)]):
+        docs = small(spark, f"{tmp_path}/{i}", [(d, t, "en", "s", 1) for d, t in zip(ids, texts)])
+        got = corpus_pipeline.near_duplicates_out(spark, docs, f"{tmp_path}/{i}").collect()
+        assert sorted((r.doc_id, r.text) for r in got) == list(enumerate(texts[:3]))
