@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from palimspark.llm.common import cut, cut_at, delete, integer_id, small_batches, tidy
@@ -252,12 +252,12 @@ def confirm(x: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
     sets = cut(_sets_of(x, ids), "sets")
     many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("tasks"))
-    spread = pairs.join(many, "b").withColumn("task", F.pmod(F.xxhash64("a"), F.col("tasks").cast("long")).cast("int"))
+    spread = pairs.join(many.hint("merge"), "b").withColumn("task", F.pmod(F.xxhash64("a"), F.col("tasks").cast("long")).cast("int"))
     partners = spread.select(F.col("a").alias("node"), "b", "task", F.lit(True).alias("asks"), "a")
     task = F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task")
     centres = many.select(F.col("b").alias("node"), "b", task, F.lit(False).alias("asks"), F.lit(0).cast("long").alias("a"))
     # the sets meet all that want them in one join
-    stream = partners.union(centres).join(sets, "node").select("b", "task", "asks", "a", "hashes")
+    stream = partners.union(centres).join(sets.hint("merge"), "node").select("b", "task", "asks", "a", "hashes")
     stream = stream.repartition("b", "task").sortWithinPartitions("b", "task", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,18 +289,20 @@ def components(edges: DataFrame) -> DataFrame:
     e, path = cut_at(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
+        # joins of tables that grow with the input are told to sort: small ones would each be broadcast by the driver, in its memory
         # large star: each node's greater neighbours are tied to its least
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        new = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(e).where("a != b").distinct()
+        new = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(e).where("a != b").distinct()
         # small star: each node and its smaller neighbours are tied to the least of these
         least = new.groupBy("a").agg(F.min("b").alias("m"))
-        joined = new.join(least, "a")
+        joined = new.join(least.hint("merge"), "a")
         new = joined.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
         old = path
-        e, path = cut_at(new, "edges")
+        seen = Observation()
+        e, path = cut_at(new.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("hash")), "edges")
         delete(old)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = seen.get
         if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("comp"))
         before = now
@@ -364,7 +366,7 @@ def _across(rows: DataFrame, parts: int, percent: int) -> DataFrame:
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
     split = F.ceil(F.col("m") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("c").cast("long")).cast("int")
-    x = rows.join(sizes, "key").withColumn("c", split).withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    x = rows.join(sizes.hint("merge"), "key").withColumn("c", split).withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     x = x.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "sig")
     x = x.repartition(parts, "task").sortWithinPartitions("task", "key", "i", "j", "n")
     ones = np.uint64(sum(1 << (BITS * i) for i in range(64 // BITS)))
@@ -450,23 +452,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
 
     e = nodes.select(F.explode("bands").alias("key"), "node")
     shared = e.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("top")).where("rep < top").select("key", "rep")
-    members = cut(e.join(shared, "key"), "members")
+    members = cut(e.join(shared.hint("merge"), "key"), "members")
     lean = nodes.select("node", "n", "sig")
     edges, comps = same, None
     for star in range(STARS):
         if star:
             # each mixed bucket without its least node's component, under the least node of the rest
-            own = members.join(comps, "node", "left").select("key", "node", "rep", F.coalesce("comp", "node").alias("comp"))
+            own = members.join(comps.hint("merge"), "node", "left").select("key", "node", "rep", F.coalesce("comp", "node").alias("comp"))
             head = own.where("node = rep").select("key", F.col("comp").alias("done"))
-            rest = own.join(head, "key").where("comp != done").select("key", "node", "comp")
+            rest = own.join(head.hint("merge"), "key").where("comp != done").select("key", "node", "comp")
             least = rest.groupBy("key").agg(F.min("node").alias("rep"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "rep")
-            stars = rest.join(least, "key")
+            stars = rest.join(least.hint("merge"), "key")
             reps = comps.toDF("rep", "other")
-            stars = stars.join(reps, "rep", "left").where("comp != coalesce(other, rep)")
+            stars = stars.join(reps.hint("merge"), "rep", "left").where("comp != coalesce(other, rep)")
         else:
             stars = members
         stars = stars.where("node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
-        close = stars.join(lean.toDF("a", "na", "sa"), "a").join(lean.toDF("b", "nb", "sb"), "b")
+        close = stars.join(lean.toDF("a", "na", "sa").hint("merge"), "a").join(lean.toDF("b", "nb", "sb").hint("merge"), "b")
         close = close.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (estimate(F.col("sa"), F.col("sb")) >= MARGIN))
         pairs = cut(close.select("a", "b").distinct(), "pairs")
         if star and pairs.isEmpty():
@@ -475,17 +477,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
         comps = components(edges)
         edges = comps.toDF("a", "b")
 
-    comp = members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    comp = members.join(comps.hint("merge"), "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rows = _narrowed(cut(comp.join(mixed, "key"), "mixed"), x, percent)
-    rows = rows.join(lean, "node").select("key", "node", "comp", "n", "sig")
+    rows = _narrowed(cut(comp.join(mixed.hint("merge"), "key"), "mixed"), x, percent)
+    rows = rows.join(lean.hint("merge"), "node").select("key", "node", "comp", "n", "sig")
     more = cut(_across(rows, int(spark.conf.get("spark.sql.shuffle.partitions")), percent), "pairs")
     if not more.isEmpty():
         comps = components(edges.union(confirm(x, more, percent)))
     ids = s.select("doc_id", "n", "digest")
-    named = groups.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
+    named = groups.join(comps.hint("merge"), "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
     # empty sets have no digest; they don't go through the join, where nulls would all meet in one task
-    linked = ids.where("digest is not null").join(named, "digest", "left").select("doc_id", "n", "comp")
+    linked = ids.where("digest is not null").join(named.hint("merge"), "digest", "left").select("doc_id", "n", "comp")
     out = linked.union(ids.where("digest is null").select("doc_id", "n", F.lit(None).cast("long").alias("comp")))
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("comp", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

@@ -180,3 +180,12 @@ def test_prefixes_of_near_sets_meet(spark, percent):
     near = [(i, j) for i in range(120) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j])) > 0]
     assert len(near) > 3 and all(kept[i] & kept[j] for i, j in near)
     assert all(len(kept[i]) == len(s) - -(-percent * len(s) // 100) + 1 for i, s in enumerate(sets) if len(s)) and not kept[999]
+
+
+def test_rounds_of_components_broadcast_nothing(spark, monkeypatch):
+    """Each small table that a round broadcasts is built in the driver's memory; a plan has them at no size."""
+    plans, write = [], minhash.cut_at
+    monkeypatch.setattr(minhash, "cut_at", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+    got = {r.node: r.comp for r in minhash.components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).collect()}
+    assert got == {2: 1, 3: 1} and len(plans) > 2
+    assert not any("Broadcast" in p for p in plans)
