@@ -35,6 +35,8 @@ _PLAIN = re.compile(f"[\x00-\x1b\x20-\x7f\xa1\xa7\xab\xaa\xb5\xba\xbb\xbf\xdf-\x
 _FAST = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^ \t-\r0-9{_LATIN}]+")
 _FULL = regex.compile(PATTERN)
 LONG_WORD = 48
+#: Bits of a token's id, where two are one number.
+SHIFT = 20
 
 
 def byte_alphabet() -> list[str]:
@@ -63,20 +65,23 @@ def _split(text: str) -> list[str]:
 
 
 class _Memo(dict):
-    """word -> ids and tokens, each joined by a space."""
+    """key -> value(key). A full table becomes the one from which keys that come again are taken, so those that often do stay."""
 
-    def __init__(self, encode):
-        self.encode, self.tokens = encode, {}
+    def __init__(self, value):
+        self.value, self.before = value, {}
+        memos.extend([self, self.before])
 
-    def __missing__(self, word: str) -> str:
-        ids, tokens = self.encode(word)
-        if len(word) > LONG_WORD:
-            # not kept; tokens() asks right after
-            self.tokens[word] = tokens
-            return ids
-        self[word] = ids
-        self.tokens[word] = tokens
-        return ids
+    def __missing__(self, key):
+        if (found := self.before.get(key)) is None:
+            found = self.value(key)
+            if isinstance(key, str) and len(key) > LONG_WORD:
+                return found
+        if len(self) >= MEMO_ENTRIES:
+            self.before.clear()
+            self.before.update(self)
+            self.clear()
+        self[key] = found
+        return found
 
 
 class Encoder:
@@ -104,18 +109,23 @@ class Encoder:
             if whole in self.parts:
                 raise ValueError("a token has two merges")
             self.rank[whole], self.parts[whole], self.pair[left, right] = rank, (left, right), rank
+        if max(self.names) >> SHIFT:
+            raise ValueError("too many tokens")
+        self.length: dict[int, int] = {}
         machine = ahocorasick.Automaton()
         for token, i in vocab.items():
             if i in self.parts and not self.compatible(*self.parts[i], self.rank[i]):
                 continue  # its own text is encoded in another way
             end = token.endswith(suffix) and token != suffix
             text = token[: -len(suffix)] + END if end else token
-            machine.add_word(text, (i, len(text)))
+            machine.add_word(text, (i, i << SHIFT, len(text)))
+            self.length[i] = len(text)
         machine.make_automaton()
         self.machine = machine
-        self._safe: dict[tuple[int, int], bool] = {}
+        self.digits = {i: str(i) for i in self.names}
+        # left << SHIFT | right -> whether they may stand side by side
+        self.safe = _Memo(lambda key: self.compatible(key >> SHIFT, key & ((1 << SHIFT) - 1)))
         self.memo = _Memo(self._word)
-        memos.extend([self.memo, self.memo.tokens, self._safe])
 
     def compatible(self, left: int, right: int, limit: float = float("inf")) -> bool:
         """Whether no merge across the boundary of left and right comes before limit or before their own merges."""
@@ -134,39 +144,33 @@ class Encoder:
 
     def word_ids(self, word: str) -> list[int]:
         """Ids of one pre-token."""
-        text = word.encode("utf-8").decode("latin-1").translate(self.table) + END
-        n = len(text)
-        last, size = [0] * (n + 1), [0] * (n + 1)
-        safe, rank = self._safe, self.rank
-        for at, (token, length) in self.machine.iter(text):
-            at += 1
-            if size[at]:
+        # printable ASCII stands for itself
+        text = (word if word.isascii() and word.isprintable() else word.encode("utf-8").decode("latin-1").translate(self.table)) + END
+        # the last token of the prefix that ends at each place, shifted
+        last: list[int | None] = [None] * len(text)
+        safe = self.safe
+        for at, (token, shifted, length) in self.machine.iter(text):
+            if last[at] is not None:
                 continue
             before = at - length
-            if before:
-                if not size[before]:
+            if before >= 0:
+                left = last[before]
+                if left is None or not safe[left | token]:
                     continue
-                key = (last[before], token)
-                ok = safe.get(key)
-                if ok is None:
-                    if len(safe) > MEMO_ENTRIES:
-                        safe.clear()
-                    ok = safe[key] = self.compatible(*key)
-                if not ok:
-                    continue
-            last[at], size[at] = token, length
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            if not size[at]:
+            last[at] = shifted
+        out, at = [], len(text) - 1
+        while at >= 0:
+            if last[at] is None:
                 raise AssertionError("a prefix has no last token")
-            at -= size[at]
+            out.append(last[at] >> SHIFT)
+            at -= self.length[out[-1]]
         out.reverse()
         return out
 
     def _word(self, word: str) -> tuple[str, str]:
         ids = self.word_ids(word)
-        return " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])
+        digits, names = self.digits, self.names
+        return " ".join([digits[i] for i in ids]), " ".join([names[i] for i in ids])
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -179,14 +183,8 @@ class Encoder:
         return _FAST.findall(text) if _PLAIN.fullmatch(text) else _split(text)
 
     def _plain(self, text: str) -> tuple[str, str]:
-        words = self.words(text)
-        memo = self.memo
-        ids = " ".join(map(memo.__getitem__, words))
-        tokens = " ".join(map(memo.tokens.__getitem__, words))
-        if len(memo.tokens) > MEMO_ENTRIES * 3 // 2:  # a miss is dear here
-            memo.clear()
-            memo.tokens.clear()
-        return ids, tokens
+        found = list(map(self.memo.__getitem__, self.words(text)))
+        return " ".join([ids for ids, _ in found]), " ".join([tokens for _, tokens in found])
 
     def encode(self, text: str) -> tuple[str, str]:
         """(ids joined by a space, decoded text). Texts of special tokens are those tokens."""

@@ -40,6 +40,20 @@ def test_memo_that_overflows_changes_nothing(library, monkeypatch):
     assert enc.encode(t) == enc.encode(t) == reference(library, t)
 
 
+def test_words_that_come_again_stay_in_a_full_memo(library, monkeypatch):
+    """One text has more words than the memo; those of every line are encoded once, and the memo keeps its bound."""
+    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 50)
+    enc, asked, word_ids = bpe.Encoder(PATH), [], bpe.Encoder.word_ids
+    monkeypatch.setattr(bpe.Encoder, "word_ids", lambda self, word: (asked.append(word), word_ids(self, word))[1])
+    often = ["river", "qanzu", "water", "zé", "x" * bpe.LONG_WORD]
+    lines = [" ".join(often + ["".join(chr(97 + int(c)) for c in f"{i:04}{k}") for k in range(9)]) for i in range(60)]
+    for t in [*lines, " ".join(lines)]:
+        assert enc.encode(t) == reference(library, t)
+        assert len(enc.memo) <= 50 and len(enc.memo.before) <= 50 and len(enc.safe) <= 50
+    assert all(asked.count(w) == 1 for w in often)
+    assert enc.encode("y" * 49) == reference(library, "y" * 49) and "y" * 49 not in enc.memo
+
+
 def test_merges_by_hand_agree_with_prefixes():
     """Plain lowest-rank merging, word by word."""
     enc = bpe.Encoder(PATH)
