@@ -4,12 +4,13 @@ Each stage takes (spark, docs, sf_dir), works on all rows of docs, and returns a
 DataFrame; all but the last return the columns that docs has, whatever their
 types. Between stages, run() writes Parquet into the shared folder and reads it
 again. Null, empty, very long and repeated texts are treated as the operators'
-docstrings say; no stage but the first two takes rows out, and those only for
-what they find in the text:
+docstrings say; no stage but these takes rows out, the first two only for what
+they find in the text:
 
 - a toxic text goes, unless no label tells toxic texts from others, when all stay;
 - of rows whose texts are near duplicates one stays, the one with the least id
-  (rows without one last), then the least text. An id that has two different texts keeps both.
+  (rows without one last), then the least text. An id that has two different texts keeps both;
+- mixing takes a row as often as its source's target asks, which may be not at all (see mixing.mix()).
 
 Columns of docs may have any names that the operators use themselves; names that begin with
 "_row" or "_copies" are taken.
