@@ -464,8 +464,10 @@ def knapsack_auto(spark, sf_dir):
 @query(f"WITH {_REV} SELECT page_id, idx, text FROM rev")
 def char_patch_roundtrip(spark, sf_dir):
     """Character deltas applied to their predecessors give the texts again."""
-    x = delta.with_delta(staged(tables.conversations(spark, sf_dir), "revisions"), method="chars")
-    before = x.select("page_id", (F.col("idx") + 1).alias("idx"), F.col("text").alias("before"))
+    rows = staged(tables.conversations(spark, sf_dir), "revisions")
+    x = delta.with_delta(rows, method="chars")
+    # of the rows, not of x: that would make all deltas twice
+    before = rows.select("page_id", (F.col("idx") + 1).alias("idx"), F.col("text").alias("before"))
     apply = F.udf(lambda b, d: None if d is None else delta.apply_chars(b, d), "string", useArrow=True)
     y = x.join(before, ["page_id", "idx"], "left").withColumn("again", apply("before", "patch"))
     return y.select("page_id", "idx", F.when(F.col("idx") == 0, F.col("text")).otherwise(F.col("again")).alias("text"))

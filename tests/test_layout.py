@@ -1,9 +1,13 @@
+import difflib
 import itertools
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from palimspark import queries
 from palimspark.functions import text as text_fns
 from palimspark.functions import times
 from palimspark.operators import analytics, compress, delta, joins, layout, retrieve, solvers
@@ -268,6 +272,24 @@ def test_character_deltas_of_long_texts():
     assert delta.apply_chars(long, patch) == changed and len(patch) < 100
 
 
+def test_character_steps_are_difflibs_without_its_time():
+    rng = random.Random(5)
+    for _ in range(400):
+        x, y = ("".join(rng.choice(rng.choice(["ab", "abc d", "é\U0001f600a"])) for _ in range(rng.randrange(40))) for _ in range(2))
+        blocks = difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()
+        assert delta._common(x, y) == [tuple(m) for m in blocks[:-1]]
+    x, y = ("".join("a" * i + end for i in range(64)) for end in "bc")
+    began = time.process_time()
+    assert delta.apply_chars(x, delta.char_delta(x, y)) == y
+    assert time.process_time() - began < 2  # 15 s with difflib
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the tables aren't here")
+def test_character_deltas_are_made_once(spark):
+    plan = queries.char_patch_roundtrip(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_pages_that_go_on_over_batches(spark):
     """The choice doesn't depend on how a task's rows are batched."""
     rng = random.Random(9)
