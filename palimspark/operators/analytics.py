@@ -14,7 +14,7 @@ def page_summary(parts: DataFrame) -> DataFrame:
     chains = chain_lengths(parts).groupBy("page_id").agg(
         F.count(F.lit(1)).alias("n_partitions"), F.avg("chain_len").alias("avg_chain_len"), F.max("chain_len").alias("max_chain_len")
     )
-    x = layout.costs(parts).join(chains, "page_id")
+    x = layout.costs(parts).join(chains.hint("merge"), "page_id")
     return x.withColumn("compression_ratio", F.when(F.col("orig_size") > 0, F.col("space_cost") / F.col("orig_size"))).withColumn(
         "anchor_density", F.col("n_anchors") / F.col("n_revisions")
     )

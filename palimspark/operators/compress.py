@@ -28,7 +28,7 @@ def compress(revisions: DataFrame, time_budget: int | None = None, strategy: str
 def as_deltas(revisions: DataFrame, parts: DataFrame, only: Column | None = None) -> DataFrame:
     """The long form of any partitioned layout (page_id, idx, is_anchor, part_id) of revisions."""
     flags = parts.select("page_id", "idx", "is_anchor", "part_id")
-    x = delta.with_delta(revisions, delta.predecessors(parts), only=only).join(flags, ["page_id", "idx"])
+    x = delta.with_delta(revisions, delta.predecessors(parts), only=only).join(flags.hint("merge"), ["page_id", "idx"])
     return x.withColumn("base_text", F.when(F.col("is_anchor"), F.coalesce("text", F.lit("")))).drop("text")
 
 
@@ -46,7 +46,7 @@ def artifacts(compressed: DataFrame, titles: DataFrame | None = None, time_budge
     stamp = F.coalesce(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(""))
     # sort_array by idx: a group has no order of its own
     row = F.struct("idx", "is_anchor", "part_id", "revid", stamp.alias("ts"), "base_text", "patch", F.col("size").cast("int").alias("size"))
-    x = compressed.groupBy("page_id").agg(F.sort_array(F.collect_list(row)).alias("r")).join(layout.costs(compressed), "page_id")
+    x = compressed.groupBy("page_id").agg(F.sort_array(F.collect_list(row)).alias("r")).join(layout.costs(compressed).hint("merge"), "page_id")
     if titles is not None:
         x = x.join(titles.select("page_id", "title"), "page_id", "left")
     else:

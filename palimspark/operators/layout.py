@@ -51,8 +51,8 @@ def choose(
     items = candidates(revisions, value_model).select("page_id", "idx", "value", "weight")
     n = revisions.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
     budget = F.lit(time_budget).cast("long") if time_budget is not None else F.col("n") * F.col("n")
-    pages = items.groupBy("page_id").agg(F.sum("weight").alias("total")).join(n, "page_id").withColumn("budget", budget)
-    x = items.join(pages.select("page_id", "budget", "total"), "page_id")
+    pages = items.groupBy("page_id").agg(F.sum("weight").alias("total")).join(n.hint("merge"), "page_id").withColumn("budget", budget)
+    x = items.join(pages.select("page_id", "budget", "total").hint("merge"), "page_id")
     easy = x.where("total <= budget").select("page_id", "idx")
 
     def solve(table: pa.Table) -> pa.Table:
@@ -95,7 +95,7 @@ def choose(
 def partition(revisions: DataFrame, chosen: DataFrame) -> DataFrame:
     """Adds is_anchor and part_id: a revision starts a partition unless its transition was chosen."""
     flags = chosen.select("page_id", "idx").withColumn("_c", F.lit(True))
-    x = revisions.join(flags, ["page_id", "idx"], "left").withColumn("is_anchor", F.col("_c").isNull()).drop("_c")
+    x = revisions.join(flags.hint("merge"), ["page_id", "idx"], "left").withColumn("is_anchor", F.col("_c").isNull()).drop("_c")
     return part_ids(x)
 
 

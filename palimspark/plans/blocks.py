@@ -3,6 +3,10 @@
 A page's rows are cut into blocks of BLOCK indices. Neighbours across a block's
 edge and totals of earlier blocks are the only things that blocks exchange, so
 a page that holds a third of all revisions spreads over many tasks.
+
+Joins of tables that grow with the revisions are told to sort (here and in the
+operators): Spark judges a stored table by its files, of which 10 MB can be
+millions of these narrow rows, and each executor would hold all of them.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ def number(df: DataFrame, page: str, key: str, width: int = 1_000_000, name: str
     before = W.partitionBy(page).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     starts = x.groupBy(page, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_s", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     x = x.withColumn("_r", F.row_number().over(W.partitionBy(page, "_b").orderBy(key)) - 1)
-    return x.join(starts.drop("_n"), [page, "_b"]).withColumn(name, (F.col("_r") + F.col("_s")).cast("int")).drop("_b", "_r", "_s")
+    return x.join(starts.drop("_n").hint("merge"), [page, "_b"]).withColumn(name, (F.col("_r") + F.col("_s")).cast("int")).drop("_b", "_r", "_s")
 
 
 def previous(df: DataFrame, column: str, name: str, block: int = BLOCK) -> DataFrame:
@@ -43,6 +47,6 @@ def running(df: DataFrame, value: Column, name: str, how: str = "sum", block: in
     w = W.partitionBy("page_id", "_b").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
     earlier = W.partitionBy("page_id").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     totals = x.groupBy("page_id", "_b").agg(agg("_v").alias("_t")).withColumn("_t", agg("_t").over(earlier))
-    x = x.withColumn("_w", agg("_v").over(w)).join(totals, ["page_id", "_b"])
+    x = x.withColumn("_w", agg("_v").over(w)).join(totals.hint("merge"), ["page_id", "_b"])
     total = F.coalesce(F.col("_w"), F.lit(0)) + F.coalesce(F.col("_t"), F.lit(0)) if how == "sum" else F.greatest("_w", "_t")
     return x.withColumn(name, total).drop("_v", "_b", "_w", "_t")

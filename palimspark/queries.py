@@ -145,14 +145,14 @@ def fixed_interval_kplus1(spark, sf_dir):
 def k_rootn(spark, sf_dir):
     x = tables.conversations(spark, sf_dir).drop("text")
     ks = layout.interval_choices(x).select("page_id", "root_n")
-    return layout.costs(layout.fixed_interval(x.join(ks, "page_id"), F.col("root_n")))
+    return layout.costs(layout.fixed_interval(x.join(ks.hint("merge"), "page_id"), F.col("root_n")))
 
 
 @query(_fixed_sql("greatest(floor(pow(ln(n), 2))::INT, 1)"))
 def k_log2(spark, sf_dir):
     x = tables.conversations(spark, sf_dir).drop("text")
     ks = layout.interval_choices(x).select("page_id", "log2")
-    return layout.costs(layout.fixed_interval(x.join(ks, "page_id"), F.col("log2")))
+    return layout.costs(layout.fixed_interval(x.join(ks.hint("merge"), "page_id"), F.col("log2")))
 
 
 _CHOICES = f"""WITH {_REV}, {_STEP}, g AS (
@@ -432,7 +432,7 @@ def order_history_costs(spark, sf_dir):
 def _solved(spark, sf_dir, solver: str, strategy: str) -> DataFrame:
     x = staged(tables.orders(spark, sf_dir), "revisions")
     chosen = layout.choose(x, 4000, strategy, solver)
-    items = layout.candidates(x).join(chosen, ["page_id", "idx"])
+    items = layout.candidates(x).join(chosen.hint("merge"), ["page_id", "idx"])
     return items.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"), F.sum("weight").alias("weight"))
 
 
@@ -469,7 +469,7 @@ def char_patch_roundtrip(spark, sf_dir):
     # of the rows, not of x: that would make all deltas twice
     before = rows.select("page_id", (F.col("idx") + 1).alias("idx"), F.col("text").alias("before"))
     apply = F.udf(lambda b, d: None if d is None else delta.apply_chars(b, d), "string", useArrow=True)
-    y = x.join(before, ["page_id", "idx"], "left").withColumn("again", apply("before", "patch"))
+    y = x.join(before.hint("merge"), ["page_id", "idx"], "left").withColumn("again", apply("before", "patch"))
     return y.select("page_id", "idx", F.when(F.col("idx") == 0, F.col("text")).otherwise(F.col("again")).alias("text"))
 
 

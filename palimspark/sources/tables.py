@@ -38,7 +38,7 @@ def _by_time(x: DataFrame, width: int = 86_400_000_000) -> DataFrame:
     before = W.partitionBy("page_id").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     starts = x.groupBy("page_id", "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_s", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     x = x.withColumn("_r", F.row_number().over(W.partitionBy("page_id", "_b").orderBy("_k", "revid")) - 1)
-    return x.join(starts, ["page_id", "_b"]).withColumn("idx", (F.col("_r") + F.col("_s")).cast("int"))
+    return x.join(starts.hint("merge"), ["page_id", "_b"]).withColumn("idx", (F.col("_r") + F.col("_s")).cast("int"))
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:

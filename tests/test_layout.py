@@ -290,6 +290,19 @@ def test_character_deltas_are_made_once(spark):
     assert plan.count("MapInArrow") == 1
 
 
+def test_tables_of_revisions_are_not_broadcast(spark):
+    """Small ones neither: what Spark takes for small can have millions of rows."""
+    x = pages(spark, {1: ["a", "ab", "abc"], 2: ["q"]})
+    parts = layout.partition(x, layout.choose(x, 100))
+    deltas = compress.as_deltas(x, parts, F.col("idx") > 0)
+    numbered = blocks.number(x.drop("idx"), "page_id", "revid")
+    for df in (numbered, layout.choose(x, 1), parts, deltas, delta.with_delta(x), compress.artifacts(deltas), analytics.page_summary(parts)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    plan = lambda q: q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    if os.path.isdir("/root/testdata/sf0.001"):
+        assert "Broadcast" not in plan(queries.retrieve_time) + plan(queries.retrieve_time_exclusive) + plan(queries.char_patch_roundtrip)
+
+
 def test_pages_that_go_on_over_batches(spark):
     """The choice doesn't depend on how a task's rows are batched."""
     rng = random.Random(9)
